@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from octetflow.llm.bpe import op2_bpe
 from octetflow.llm.simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_bpe": op2_bpe,
 }
 
 ORACLES: dict[str, str] = {}
