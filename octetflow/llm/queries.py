@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from octetflow.llm import exact, mixing
 from octetflow.llm.bpe import op2_bpe
+from octetflow.llm.exact import op4_exact_dedup
+from octetflow.llm.mixing import op8_mixing
 from octetflow.llm.simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op8_mixing": op8_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": exact.ORACLE,
+    "op8_mixing": mixing.ORACLE,
+}
