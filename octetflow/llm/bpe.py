@@ -174,9 +174,9 @@ def bpe_decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", p
     return df.withColumn(text_col, F.arrow_udf(text, "binary")(F.col(ids_col)))
 
 
-def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = False) -> DataFrame:
     """Encodes and decodes every whole text in one pass and keeps, a row: id_col, n_tokens, ids_sha256 (ids as little-endian unsigned
-    32-bit integers), decoded_sha256. Rows with null ids, null or empty texts (0 tokens, digests of no bytes) and
+    32-bit integers), decoded_sha256, and with ``with_ids`` the ids (array<int>). Rows with null ids, null or empty texts (0 tokens, digests of no bytes) and
     repeated rows stay; other columns are ignored. No shuffle."""
     source = _source(docs.sparkSession, path)
 
@@ -184,16 +184,20 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         enc, sha = _encoder(source, pattern), hashlib.sha256
         little = sys.byteorder == "little"
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, kept = [], [], [], []
             for t in batch.column(1):  # one text at a time in Python's memory
                 ids = enc.encode_bytes(t.as_py())
                 n.append(len(ids) // 4)
                 a.append(sha(ids if little else np.frombuffer(ids, np.uint32).astype("<u4").tobytes()).hexdigest())
                 b.append(sha(enc.decode(memoryview(ids).cast("I"))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n", "a", "b"])
+                if with_ids:
+                    kept.append(np.frombuffer(ids, np.uint32).astype(np.int32))
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.list_(pa.int32()))] * with_ids, ["id", "n", "a", "b", "ids"][: 4 + with_ids])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n long, a string, b string").toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids]
+    return rows.mapInArrow(run, "id long, n long, a string, b string" + ", ids array<int>" * with_ids).toDF(*names)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

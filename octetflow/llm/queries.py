@@ -6,6 +6,7 @@ from octetflow.llm import exact, mixing
 from octetflow.llm.bpe import op2_bpe
 from octetflow.llm.exact import op4_exact_dedup
 from octetflow.llm.mixing import op8_mixing
+from octetflow.llm.quality import op10_quality
 from octetflow.llm.simhash import op1_simhash
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_mixing": op8_mixing,
+    "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
