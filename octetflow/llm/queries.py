@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from octetflow.llm import exact, mixing
 from octetflow.llm.bpe import op2_bpe
 from octetflow.llm.exact import op4_exact_dedup
@@ -10,6 +11,7 @@ from octetflow.llm.quality import op10_quality
 from octetflow.llm.simhash import op1_simhash
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
     "op4_exact_dedup": op4_exact_dedup,
