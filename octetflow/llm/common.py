@@ -58,15 +58,18 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, slots: int = HEAVY_SLOTS) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int, slots: int = HEAVY_SLOTS) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has one row a key and in ``weight`` the number of rows of ``left``
     with that key (``total``: their sum). Keys with at least 1/slots of the rows are at most ``slots`` (all of
     them if total < slots), so they are broadcast and their rows stay where they are; the others are joined by shuffle, where no
     key is large. Rows of ``left`` with a null key go."""
-    hot = (F.col(weight) * F.lit(slots) >= F.lit(total)) & F.col(key).isNotNull()
+    keys = [key] if isinstance(key, str) else key
+    hot = F.col(weight) * F.lit(slots) >= F.lit(total)
+    for k in keys:
+        hot = hot & F.col(k).isNotNull()
     heavy, light = right.filter(hot), right.filter(~hot)
-    near = left.join(F.broadcast(heavy), key)
-    far = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    near = left.join(F.broadcast(heavy), keys)
+    far = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys)
     return near.unionByName(far)
 
 

@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from octetflow.llm import exact, mixing
+from octetflow.llm import exact, mixing, substring
 from octetflow.llm.bpe import op2_bpe
 from octetflow.llm.exact import op4_exact_dedup
 from octetflow.llm.mixing import op8_mixing
 from octetflow.llm.quality import op10_quality
 from octetflow.llm.simhash import op1_simhash
+from octetflow.llm.substring import op3_substring_dedup
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_mixing": op8_mixing,
     "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_substring_dedup": substring.ORACLE,
     "op4_exact_dedup": exact.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
