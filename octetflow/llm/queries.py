@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from octetflow.llm import exact, mixing, substring
+from octetflow.llm import embeddings, exact, mixing, substring
 from octetflow.llm.bpe import op2_bpe
+from octetflow.llm.embeddings import op5_embeddings
 from octetflow.llm.exact import op4_exact_dedup
 from octetflow.llm.mixing import op8_mixing
 from octetflow.llm.quality import op10_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_embeddings": op5_embeddings,
     "op8_mixing": op8_mixing,
     "op10_quality": op10_quality,
 }
@@ -24,5 +26,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": substring.ORACLE,
     "op4_exact_dedup": exact.ORACLE,
+    "op5_embeddings": embeddings.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
