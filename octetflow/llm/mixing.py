@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from octetflow.llm.common import Scratch, lookup, table, unit_hash
 
 ALPHA = {"source": 0.7, "lang": 0.7, "topic": 0.8}
-KEEP, ROUNDS, FILLS, SALT = 0.9, 15, 12, "mix"
+KEEP, ROUNDS, FILLS, SALT = 0.9, 10, 8, "mix"
 NONE = "(none)"
 #: Topics by what a text holds, the first that applies; "prose" otherwise.
 TOPICS = [("table", "%|%|%|%"), ("markup", "%\\%\\%\\%%"), ("notice", "%!!%!!%"), ("record", "%=%"), ("contact", "%@%")]
@@ -41,30 +41,36 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, roun
     visited, and their weights are written once a round. Values without a target keep factor 1; values with a target
     but no tokens have none to scale."""
     every = F.lit(cells.agg(F.sum("tokens")).first()[0] or 0.0)
-    state = scratch.write(cells.withColumn("w", F.col("tokens")))
+    state = cells.withColumn("w", F.col("tokens"))
+    for column, target in targets.items():
+        state = state.join(target.select(column, F.col("share").alias(f"{column}_share")), column, "left")
+    state = scratch.write(state)
     for _ in range(rounds):
         step = state
-        for column, target in targets.items():
-            scale = step.groupBy(column).agg(F.sum("w").alias("sum")).join(target, column, "left")
-            fixed = F.col("share").isNull() | (F.col("sum") <= 0)
-            step = step.join(scale, column).withColumn("w", F.when(fixed, F.col("w")).otherwise(F.col("w") * F.col("share") / F.col("sum") * every)).drop("sum", "share")
+        for column in targets:
+            share = F.col(f"{column}_share")
+            step = step.join(step.groupBy(column).agg(F.sum("w").alias("sum")), column)
+            step = step.withColumn("w", F.when(share.isNull() | (F.col("sum") <= 0), F.col("w")).otherwise(F.col("w") * share / F.col("sum") * every)).drop("sum")
         new = scratch.write(step)
         scratch.drop(state)
         state = new
-    return state.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0)).drop("w")
+    return state.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0)).select(*cells.columns, "ratio")
 
 
-def calibrate(cells: DataFrame, scratch: Scratch, keep: float = KEEP, fills: int = FILLS) -> DataFrame:
+def calibrate(cells: DataFrame, keep: float = KEEP, fills: int = FILLS) -> DataFrame:
     """Adds ``prob``: min(1, k * ratio), with k such that the expected tokens are ``keep`` of all. Where cells reach 1, the others share what is left, again and again."""
-    state = scratch.write(cells.withColumn("prob", F.lit(0.0)))
+    k = 0.0
     for _ in range(fills):
-        full = F.col("prob") >= 1.0
-        every, taken, left = state.agg(F.sum("tokens"), F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("ratio")))).first()
-        k = max(0.0, keep * every - taken) / left if left else 1.0
-        new = scratch.write(state.withColumn("prob", F.when(full, 1.0).otherwise(F.least(F.lit(1.0), F.lit(k) * F.col("ratio")))))
-        scratch.drop(state)
-        state = new
-    return state
+        full = F.col("ratio") * F.lit(k) >= 1.0  # k only grows
+        every, taken, left = cells.agg(F.sum("tokens"), F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("ratio")))).first()
+        if not left:
+            k = k or 1.0
+            break
+        new = max(0.0, keep * every - taken) / left
+        if new <= k:
+            break
+        k = new
+    return cells.withColumn("prob", F.least(F.lit(1.0), F.lit(k) * F.col("ratio")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None,
@@ -83,7 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = scratch.write(rows.groupBy("cell", "source", "lang", "topic").agg(F.sum("n_tokens").cast("double").alias("tokens"), F.count("*").alias("n")))
     given = targets or {}
     wanted = {c: given[c].select(c, "share") if c in given else scratch.write(tempered(cells, c, alpha[c])) for c in ("source", "lang", "topic")}
-    cells = calibrate(rake(cells, wanted, scratch, rounds), scratch, keep)
+    cells = calibrate(scratch.write(rake(cells, wanted, scratch, rounds)), keep)
     out = lookup(rows, cells.select("cell", "n", "ratio", "prob"), "cell", "n", rows.count())
     sampled = F.coalesce(unit_hash(F.col("id"), salt) < F.col("prob"), F.lit(False))
     return out.select(F.col("id").alias(id_col), "source", "lang", "topic", "n_tokens", F.round("ratio", 6).alias("weight"), F.round("prob", 6).alias("prob"), sampled.alias("sampled"))
