@@ -8,6 +8,7 @@ from octetflow.llm.bpe import op2_bpe
 from octetflow.llm.embeddings import op5_embeddings
 from octetflow.llm.exact import op4_exact_dedup
 from octetflow.llm.mixing import op8_mixing
+from octetflow.llm.pii import op9_pii
 from octetflow.llm.quality import op10_quality
 from octetflow.llm.simhash import op1_simhash
 from octetflow.llm.substring import op3_substring_dedup
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_embeddings": op5_embeddings,
     "op8_mixing": op8_mixing,
+    "op9_pii": op9_pii,
     "op10_quality": op10_quality,
 }
 
