@@ -7,6 +7,7 @@ from octetflow.llm import embeddings, exact, mixing, substring
 from octetflow.llm.bpe import op2_bpe
 from octetflow.llm.embeddings import op5_embeddings
 from octetflow.llm.exact import op4_exact_dedup
+from octetflow.llm.html import op6_html
 from octetflow.llm.langid import op7_langid
 from octetflow.llm.mixing import op8_mixing
 from octetflow.llm.pii import op9_pii
@@ -21,6 +22,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_embeddings": op5_embeddings,
+    "op6_html": op6_html,
     "op7_langid": op7_langid,
     "op8_mixing": op8_mixing,
     "op9_pii": op9_pii,
