@@ -14,7 +14,7 @@ from octetflow.functions.digests import key_bytes
 
 UINT8, UINT16, UINT32, UINT64, STRING, BOOL, FLOAT, DOUBLE = 0x01, 0x02, 0x04, 0x08, 0x10, 0x20, 0x30, 0x40
 MAGIC, FORMAT = 0x41494F48, 1
-_HEAD, _ENTRY = struct.Struct("<IHII"), struct.Struct("<BIIH")
+_HEAD, _ENTRY = "<IHII", "<BIIH"
 
 
 class HeaderWriter:
@@ -50,30 +50,30 @@ class HeaderWriter:
         return self._add(name, DOUBLE, 64, int.from_bytes(struct.pack("<d", value), "little"))
 
     def size(self) -> int:
-        return _HEAD.size + sum(_ENTRY.size + len(n) for *_, n in self.entries) + -(-self.bits // 8)
+        return struct.calcsize(_HEAD) + sum(struct.calcsize(_ENTRY) + len(n) for *_, n in self.entries) + -(-self.bits // 8)
 
     def clear(self) -> None:
         self.__init__()
 
     def to_bytes(self) -> bytes:
         data = self.value.to_bytes(-(-self.bits // 8), "little")
-        return _HEAD.pack(MAGIC, FORMAT, len(self.entries), len(data)) + b"".join(_ENTRY.pack(k, w, o, len(n)) + n for k, w, o, n in self.entries) + data
+        return struct.pack(_HEAD, MAGIC, FORMAT, len(self.entries), len(data)) + b"".join(struct.pack(_ENTRY, k, w, o, len(n)) + n for k, w, o, n in self.entries) + data
 
 
 class HeaderReader:
     """Fields by name; of repeated names the last counts. Getters give None for what is missing or of another type."""
 
     def __init__(self, raw: bytes):
-        if len(raw) < _HEAD.size:
+        if len(raw) < struct.calcsize(_HEAD):
             raise ValueError("the header is cut short")
-        magic, version, count, size = _HEAD.unpack_from(raw)
+        magic, version, count, size = struct.unpack_from(_HEAD, raw)
         if magic != MAGIC or version != FORMAT:
             raise ValueError("there is no header here")
         self.fields: dict[str, tuple[int, int, int]] = {}
-        at = _HEAD.size
+        at = struct.calcsize(_HEAD)
         for _ in range(count):
-            kind, width, offset, n = _ENTRY.unpack_from(raw, at)
-            at += _ENTRY.size
+            kind, width, offset, n = struct.unpack_from(_ENTRY, raw, at)
+            at += struct.calcsize(_ENTRY)
             self.fields[raw[at : at + n].decode()] = (kind, width, offset)
             at += n
         if at + size > len(raw):

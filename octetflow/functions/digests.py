@@ -55,6 +55,37 @@ def fnv1a_many(items: list[bytes]) -> np.ndarray:
     return _columns(items, 1, lambda h, b: (h ^ b) * np.uint64(PRIME))
 
 
+def transfer(data: bytes, lanes: int = 64) -> tuple[int, np.ndarray]:
+    """What ``data`` does to any FNV-1a state, as (power, table): h becomes h * power + table[h & 255].
+
+    Xor touches the low byte alone and that byte's course depends on its own start only, so a stretch of bytes is known from 256
+    starts. Stretches can thus be folded apart, in parallel, and put together by ``chained``."""
+    size = max(1, len(data) // max(1, min(lanes, len(data) // 64)))
+    cut = len(data) // size * size
+    power, out = 1, np.zeros(256, np.uint64)
+    for part in (np.frombuffer(data[:cut], np.uint8).reshape(-1, size), np.frombuffer(data[cut:], np.uint8).reshape(1, -1)):
+        if part.size:
+            h = np.broadcast_to(np.arange(256, dtype=np.uint64), (len(part), 256)).copy()
+            for b in part.T.astype(np.uint64):
+                h ^= b[:, None]
+                h *= np.uint64(PRIME)
+            p = pow(PRIME, part.shape[1], 2**64)
+            for row in h - np.arange(256, dtype=np.uint64) * np.uint64(p):
+                power, out = chained((power, out), (p, row))
+    return power, out
+
+
+def chained(first: tuple[int, np.ndarray], then: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
+    """The transfer of one stretch after the other."""
+    (p, x), (q, y) = first, then
+    middle = np.arange(256, dtype=np.uint64) * np.uint64(p) + x
+    return p * q & MASK, x * np.uint64(q) + y[(middle & np.uint64(255)).astype(np.int64)]
+
+
+def after(state: int, step: tuple[int, np.ndarray]) -> int:
+    return (state * step[0] + int(step[1][state & 255])) & MASK
+
+
 def word_fnv_many(items: list[bytes]) -> np.ndarray:
     """FNV over little-endian 8-byte words, then over the bytes that are left, folded by h ^ h >> 32. The length is no part of it."""
     h = _columns(items, 8, lambda h, w: (h ^ w) * np.uint64(PRIME))

@@ -6,23 +6,66 @@ import io
 import posixpath
 import struct
 import zipfile
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from octetflow.functions.names import component_order
+from octetflow.plans.scratch import written
 
 _KIND = pa.list_(pa.struct([("idx", pa.int32()), ("relative_path", pa.string()), ("data_size", pa.int64()), ("data", pa.binary())]))
 _ROWS = "array<struct<idx:int,relative_path:string,data_size:bigint,data:binary>>"
 
 
 def layout(files: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, idx, relative_path, offset, data_size): where each entry starts, in component order of the paths, from running sums alone. ``files``: (by, relative_path, size)."""
-    over = Window.partitionBy(*(by or [])).orderBy(component_order(F.col("relative_path")))
-    cost = 12 + F.octet_length("relative_path") + F.col("size")
-    before = F.coalesce(F.sum(cost).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return files.select(*(by or []), (F.row_number().over(over) - 1).alias("idx"), "relative_path", (4 + before).cast("long").alias("offset"), F.col("size").cast("long").alias("data_size"))
+    """(by, idx, relative_path, offset, data_size): where each entry starts, in component order of the paths. ``files``: (by, relative_path, size).
+
+    Running sums in two steps, so that an archive of any number of entries is spread over tasks: rows are dealt by ranges of (by, path) and written; each
+    range's sums give the ranges' starts, and windows run inside a range only."""
+    by = by or []
+    order = component_order(F.col("relative_path"))
+    rows = files.select(*by, "relative_path", F.col("size").cast("long").alias("data_size"))
+    ranged = written(rows.repartitionByRange(*by, order).withColumn("part", F.spark_partition_id()), "layout")
+    cost = F.lit(12) + F.octet_length("relative_path") + F.col("data_size")
+    sums = ranged.groupBy(*by, "part").agg(F.sum(cost).alias("cost"), F.count("*").alias("n"))
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = sums.select(*by, "part", F.coalesce(F.sum("cost").over(before), F.lit(0)).alias("cost0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    inside = Window.partitionBy(*by, "part").orderBy(order)
+    a, b = ranged.alias("a"), starts.alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "part"]]
+    joined = a.join(b, reduce(and_, same)).select(*(f"a.{c}" for c in [*by, "part", "relative_path", "data_size"]), "cost0", "n0")
+    offset = F.lit(4) + F.col("cost0") + F.coalesce(F.sum(cost).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return joined.select(*by, (F.col("n0") + F.row_number().over(inside) - 1).cast("long").alias("idx"), "relative_path", offset.cast("long").alias("offset"), "data_size")
+
+
+def volumes(files: DataFrame, by: list[str], limit: int) -> DataFrame:
+    """``files`` with a column ``volume``: successive stretches, in archive order, of about ``limit`` bytes, so that (by, volume) packs into archives of bounded size."""
+    placed = layout(files.select(*by, "relative_path", F.octet_length("content").alias("size")), by).select(*by, "relative_path", F.floor((F.col("offset") - 4) / F.lit(limit)).alias("volume"))
+    f, p = files.alias("f"), placed.alias("p")
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*by, "relative_path"]]
+    return f.join(p, reduce(and_, same)).select("f.*", "p.volume")
+
+
+def pieces(files: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, offset, piece): bytes of archives and where they stand, an entry a row and one for the count. Written at their places, or joined in order, they are the
+    archive; no task holds more than an entry, so archives can be of any size. ``files``: (by, relative_path, content), paths distinct in an archive."""
+    by = by or []
+    placed = layout(files.select(*by, "relative_path", F.octet_length("content").alias("size")), by)
+    f, p = files.alias("f"), placed.alias("p")
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*by, "relative_path"]]
+    head = F.concat(_little(F.octet_length(F.col("p.relative_path")).cast("long"), 4), F.encode(F.col("p.relative_path"), "utf-8"), _little(F.col("p.data_size"), 8))
+    entries = f.join(p, reduce(and_, same)).select(*(f"p.{c}" for c in by), "p.offset", F.concat(head, F.col("f.content")).alias("piece"))
+    counts = placed.groupBy(*by).agg(F.count("*").alias("n")).select(*by, F.lit(0).cast("long").alias("offset"), _little(F.col("n"), 4).alias("piece"))
+    return counts.unionByName(entries)
+
+
+def _little(value: Column, width: int) -> Column:
+    """A number as ``width`` little-endian bytes."""
+    digits = F.lpad(F.hex(value), 2 * width, "0")
+    return F.unhex(F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(width)))))
 
 
 def pack_entries(entries: list[tuple[str, bytes]]) -> bytes:
@@ -82,7 +125,8 @@ def _gather(files: DataFrame, by: list[str], make, name: str) -> DataFrame:
 
 
 def pack(files: DataFrame, by: list[str]) -> DataFrame:
-    """(by, archive): one archive for each value of ``by``. ``files``: (by, relative_path, content). An archive is one value, of 2 GiB at most."""
+    """(by, archive): one archive for each value of ``by``. ``files``: (by, relative_path, content). An archive is one value, of 2 GiB at most; for larger ones there
+    is ``pieces``."""
     return _gather(files, by, pack_entries, "archive")
 
 

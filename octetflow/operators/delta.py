@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from octetflow.operators.chunking import chunk_rows
 
 MARK, COPY, INSERT = 0xFF, 0, 1
-_HEAD, _COPY, _INSERT = struct.Struct("<BQ"), struct.Struct("<BQI"), struct.Struct("<BI")
+_HEAD, _COPY, _INSERT = "<BQ", "<BQI", "<BI"
 
 
 def diff_ops(source: DataFrame, target: DataFrame, key: str = "path") -> DataFrame:
@@ -28,7 +28,7 @@ def diff_ops(source: DataFrame, target: DataFrame, key: str = "path") -> DataFra
     insert = F.when(F.col("pos") > F.col("from"), F.struct(F.lit("INSERT").alias("op"), F.lit(None).cast("long").alias("src_pos"), F.col("from").alias("dst_pos"), (F.col("pos") - F.col("from")).alias("len")))
     copy = F.when(F.col("src_pos").isNotNull(), F.struct(F.lit("COPY").alias("op"), "src_pos", F.col("pos").alias("dst_pos"), "len"))
     ops = placed.select(key, F.explode(F.array_compact(F.array(insert, copy))).alias("o")).select(key, "o.*")
-    return ops.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy("dst_pos")) - 1).select(key, "seq", "op", "src_pos", "dst_pos", "len")
+    return ops.withColumn("seq", (F.row_number().over(Window.partitionBy(key).orderBy("dst_pos")) - 1).cast("long")).select(key, "seq", "op", "src_pos", "dst_pos", "len")
 
 
 def patch_sizes(ops: DataFrame, target: DataFrame, key: str = "path") -> DataFrame:
@@ -39,28 +39,28 @@ def patch_sizes(ops: DataFrame, target: DataFrame, key: str = "path") -> DataFra
 
 def write_patch(data: bytes, ops: list[tuple[str, int | None, int, int]]) -> bytes:
     """``ops``: (op, src_pos, dst_pos, len) in order; inserts take their bytes from ``data``, the target."""
-    out = [_HEAD.pack(MARK, len(data))]
+    out = [struct.pack(_HEAD, MARK, len(data))]
     for op, src, dst, n in ops:
         if n >= 2**32:
             raise ValueError("a command holds less than 4 GiB")
-        out += [_COPY.pack(COPY, src, n)] if op == "COPY" else [_INSERT.pack(INSERT, n), data[dst : dst + n]]
+        out += [struct.pack(_COPY, COPY, src, n)] if op == "COPY" else [struct.pack(_INSERT, INSERT, n), data[dst : dst + n]]
     return b"".join(out)
 
 
 def read_patch(patch: bytes) -> tuple[int, list[tuple[str, int | None, int, int, bytes | None]]]:
     """(size of the target, commands (op, src_pos, dst_pos, len, bytes))."""
-    if len(patch) < _HEAD.size or patch[0] != MARK:
+    if len(patch) < struct.calcsize(_HEAD) or patch[0] != MARK:
         raise ValueError("this is no patch")
-    size, at, dst, out = _HEAD.unpack_from(patch)[1], _HEAD.size, 0, []
+    size, at, dst, out = struct.unpack_from(_HEAD, patch)[1], struct.calcsize(_HEAD), 0, []
     try:
         while at < len(patch):
             if patch[at] == COPY:
-                _, src, n = _COPY.unpack_from(patch, at)
-                at += _COPY.size
+                _, src, n = struct.unpack_from(_COPY, patch, at)
+                at += struct.calcsize(_COPY)
                 out.append(("COPY", src, dst, n, None))
             elif patch[at] == INSERT:
-                n = _INSERT.unpack_from(patch, at)[1]
-                at += _INSERT.size
+                n = struct.unpack_from(_INSERT, patch, at)[1]
+                at += struct.calcsize(_INSERT)
                 if at + n > len(patch):
                     raise ValueError("the patch is cut short")
                 out.append(("INSERT", None, dst, n, patch[at : at + n]))

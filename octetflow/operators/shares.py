@@ -8,14 +8,14 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from octetflow.functions.chacha import xchacha20
 from octetflow.functions.digests import mac_key, same
 from octetflow.functions.gf256 import inverse, join_secret, powers, product, split_secret
 
-_HEAD = struct.Struct("<BIQ24s32s32s")
+_HEAD = "<BIQ24s32s32s"
 FIELDS = ["share_id", "k", "orig_size", "nonce", "key_share", "hmac", "payload"]
 _KIND = pa.struct([("share_id", pa.int32()), ("k", pa.int32()), ("orig_size", pa.int64()), ("nonce", pa.binary()), ("key_share", pa.binary()), ("hmac", pa.binary()), ("payload", pa.binary())])
 SCHEMA = "struct<share_id:int,k:int,orig_size:bigint,nonce:binary,key_share:binary,hmac:binary,payload:binary>"
@@ -62,13 +62,19 @@ def integrate(shares: list[dict]) -> bytes:
 
 
 def write_share(s: dict) -> bytes:
-    return _HEAD.pack(s["share_id"], s["k"], s["orig_size"], s["nonce"], s["key_share"], s["hmac"]) + s["payload"]
+    return struct.pack(_HEAD, s["share_id"], s["k"], s["orig_size"], s["nonce"], s["key_share"], s["hmac"]) + s["payload"]
+
+
+def share_bytes() -> Column:
+    """Stored form of the share in a row's columns."""
+    run = F.arrow_udf(lambda s: pa.array([write_share(x) for x in s.to_pylist()], pa.binary()), "binary")
+    return run(F.struct(*FIELDS))
 
 
 def read_share(raw: bytes) -> dict:
-    if len(raw) < _HEAD.size:
+    if len(raw) < struct.calcsize(_HEAD):
         raise ValueError("the share is cut short")
-    return dict(zip(FIELDS, (*_HEAD.unpack_from(raw), raw[_HEAD.size :]), strict=True))
+    return dict(zip(FIELDS, (*struct.unpack_from(_HEAD, raw), raw[struct.calcsize(_HEAD) :]), strict=True))
 
 
 def split_files(files: DataFrame, n: int, k: int, key: bytes, coefficients: bytes, path: str = "path", content: str = "content", nonce: str | None = None) -> DataFrame:
@@ -100,4 +106,4 @@ def consistent(shares: DataFrame, path: str = "path") -> DataFrame:
 def share_sizes(files: DataFrame, n: int, k: int, path: str = "path", content: str = "content") -> DataFrame:
     """(path, share_id, payload_bytes, share_bytes, storage_ratio, redundancy) without making shares."""
     size = F.ceil(F.octet_length(content) / F.lit(k)).cast("long")
-    return files.select(path, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("share_id"), size.alias("payload_bytes"), (size + _HEAD.size).alias("share_bytes"), F.lit(n / k).alias("storage_ratio"), F.lit(n - k).alias("redundancy"))
+    return files.select(path, F.explode(F.sequence(F.lit(1), F.lit(n))).alias("share_id"), size.alias("payload_bytes"), (size + struct.calcsize(_HEAD)).alias("share_bytes"), F.lit(n / k).alias("storage_ratio"), F.lit(n - k).alias("redundancy"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -13,14 +13,29 @@ from octetflow.functions.names import relative
 from octetflow.operators import archive, shares
 
 
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, r"^(\w+):/+", "$1:/")
+
+
+def _empty(found: DataFrame) -> DataFrame:
+    """Paths of the files that the scan lists but does not return, as it leaves out empty ones. The names stay in the JVM, which holds them for the scan anyway."""
+    spark = found.sparkSession
+    scala = spark._jvm.scala
+    listed = scala.jdk.javaapi.CollectionConverters.asJava(scala.collection.immutable.ArraySeq.unsafeWrapArray(found._jdf.inputFiles()))
+    rows = DataFrame(spark._jsparkSession.createDataset(listed, spark._jvm.org.apache.spark.sql.Encoders.STRING()).toDF(), spark)
+    paths = rows.select(F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B"))).alias("path"))
+    return paths.join(found.select("path"), _plain(paths["path"]) == _plain(found["path"]), "left_anti")
+
+
 def scan(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(path, relative_path, size, modified, content) of the regular files. Filter on path, size and modified before touching the content: these reach the scan."""
+    """(path, relative_path, size, modified, content) of the regular files; of empty ones, modified is null. Filter on path, size and modified before touching the content: these reach the scan."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString()
-    plain = F.regexp_replace("path", r"^(\w+):/+", "$1:/")
-    base = root.replace("://", ":/", 1) if "://" in root else root
-    return found.select("path", relative(plain, base.replace(":///", ":/")).alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    full = found.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+    none = _empty(found).select("path", F.lit(0).cast("long").alias("size"), F.lit(None).cast("timestamp").alias("modified"), F.lit(b"").alias("content"))
+    rows = full.unionByName(none)
+    return rows.select("path", relative(_plain(F.col("path")), _plain(F.lit(root))).alias("relative_path"), "size", "modified", "content")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -41,7 +56,7 @@ def read_shares(spark: SparkSession, path: str) -> DataFrame:
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """(path, fields): flat JSON maps of strings."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     return text.select("path", F.from_json("value", "map<string,string>").alias("fields"))
 
 
@@ -102,5 +117,43 @@ class FileSink(DataSource):
         return _FileWriter(self.options["path"].removeprefix("file://"))
 
 
+class _ArchiveWriter(DataSourceWriter):
+    def __init__(self, path: str):
+        self.path, self.part = path, f"{path}.{uuid.uuid4().hex}.part"
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+
+    def write(self, iterator) -> WriterCommitMessage:
+        out = os.open(self.part, os.O_WRONLY | os.O_CREAT, 0o644)
+        try:
+            for row in iterator:
+                data, at = memoryview(row["piece"]), row["offset"]
+                while data:
+                    done = os.pwrite(out, data, at)
+                    data, at = data[done:], at + done
+        finally:
+            os.close(out)
+        return _Done([])
+
+    def commit(self, messages) -> None:
+        os.replace(self.part, self.path)
+
+    def abort(self, messages) -> None:
+        if os.path.exists(self.part):
+            os.remove(self.part)
+
+
+class ArchiveSink(DataSource):
+    """``pieces(files).write.format("octet_archive").mode("append").save(file)``: every task writes its pieces (offset, piece) at their places of one file, in a
+    folder that driver and executors share. A repeated task writes the same bytes again."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "octet_archive"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _ArchiveWriter(self.options["path"].removeprefix("file://"))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FileSink)
+    spark.dataSource.register(ArchiveSink)
