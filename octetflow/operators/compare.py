@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from octetflow.functions import digests
+from octetflow.operators.folds import fnv_in_order
 
 STATUSES = ["only_in_first", "only_in_second", "modified", "identical"]
 
@@ -17,59 +16,15 @@ def listing(files: DataFrame, by: list[str] | None = None) -> DataFrame:
     return files.select(*(by or []), "relative_path", digests.fnv(F.col("content")).alias("hash"), F.octet_length("content").cast("long").alias("size"))
 
 
-def _fold(batches):
-    """Lines of folders in order to a row a folder: its state where it begins in this partition, else its transfer."""
-    now, files, size, first, state = None, 0, 0, None, None
-
-    def row():
-        power, table = state if isinstance(state, tuple) else (None, None)
-        own = None if power is not None else f"{state:016x}"
-        return {"g": now, "first": first, "state": own, "power": None if power is None else f"{power:016x}", "table": None if table is None else table.tobytes(), "files": files, "bytes": size}
-
-    for batch in batches:
-        out = []
-        names, paths, lines, sizes = (c.to_pylist() for c in batch.columns)
-        starts = [k for k in range(len(names)) if k == 0 or names[k] != names[k - 1]] + [len(names)]
-        for lo, hi in zip(starts, starts[1:], strict=False):
-            text = "".join(lines[lo:hi]).encode()
-            if now is None or names[lo] != now:
-                if now is not None:
-                    out.append(row())
-                state = digests.OFFSET if now is not None else (1, np.zeros(256, np.uint64))  # the first may go on from the partition before
-                now, files, size, first = names[lo], 0, 0, f"{paths[lo]}\0{lines[lo]}"
-            state = digests.chained(state, digests.transfer(text)) if isinstance(state, tuple) else digests.fnv1a(text, state)
-            files, size = files + hi - lo, size + sum(sizes[lo:hi])
-        yield pa.RecordBatch.from_pylist(out, _PART)
-    if now is not None:
-        yield pa.RecordBatch.from_pylist([row()], _PART)
-
-
-_PART = pa.schema([("g", pa.string()), ("first", pa.string()), ("state", pa.string()), ("power", pa.string()), ("table", pa.binary()), ("files", pa.int64()), ("bytes", pa.int64())])
-
-
-def _finish(parts):
-    out = []
-    for x in parts.to_pylist():
-        h = digests.OFFSET
-        for p in sorted(x, key=lambda p: p["first"].encode()):
-            h = int(p["state"], 16) if p["state"] else digests.after(h, (int(p["power"], 16), np.frombuffer(p["table"], np.uint64)))
-        out.append(f"{h:016x}")
-    return pa.array(out, pa.string())
-
-
 def folder_digest(listed: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, folder_hash, files, bytes): FNV over ``path:hash:size;`` of all files in bytewise order of their paths.
-
-    The lines are dealt by ranges of (by, path), so a folder of any size is spread over tasks; each task folds what it has, and the folds of a
-    folder are chained (2 KB a task that the folder reaches). Null paths and sizes go; without ``by``, no files give the digest of nothing."""
+    """(by, folder_hash, files, bytes): FNV over ``path:hash:size;`` of all files in bytewise order of their paths, by ``fnv_in_order``, so a folder of any
+    size is spread over tasks. Null paths and sizes go; without ``by``, no files give the digest of nothing."""
     by = by or []
     line = F.concat(F.concat_ws(":", "relative_path", "hash", F.col("size").cast("string")), F.lit(";"))
     key = F.to_json(F.struct(*by)) if by else F.lit("")
-    rows = listed.filter("relative_path is not null and size is not null").select(key.alias("g"), "relative_path", line.alias("line"), F.col("size").cast("long").alias("size"))
-    kinds = "g string, first string, state string, power string, table binary, files long, bytes long"
-    parts = rows.repartitionByRange("g", "relative_path", "line").sortWithinPartitions("g", "relative_path", "line").mapInArrow(_fold, kinds)
-    whole = parts.groupBy("g").agg(F.collect_list(F.struct("first", "state", "power", "table")).alias("p"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))  # a row a task
-    done = whole.select("g", F.arrow_udf(_finish, "string")("p").alias("folder_hash"), "files", "bytes")
+    rows = listed.filter("relative_path is not null and size is not null")
+    rows = rows.select(key.alias("g"), F.concat("relative_path", F.lit("\0"), line).alias("at"), F.encode(line, "utf-8").alias("data"), F.col("size").cast("long").alias("size"))
+    done = fnv_in_order(rows).select("g", F.col("fnv").alias("folder_hash"), F.col("n").alias("files"), F.col("size").alias("bytes"))
     if by:
         return done.select(F.from_json("g", listed.select(*by).schema).alias("k"), "folder_hash", "files", "bytes").select("k.*", "folder_hash", "files", "bytes")
     return done.groupBy().agg(F.coalesce(F.max("folder_hash"), F.lit(f"{digests.OFFSET:016x}")).alias("folder_hash"), F.coalesce(F.max("files"), F.lit(0)).alias("files"), F.coalesce(F.max("bytes"), F.lit(0)).alias("bytes"))

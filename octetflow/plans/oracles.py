@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from octetflow.functions.digests import OFFSET, PRIME
 from octetflow.operators.chunking import GEAR
-from octetflow.plans.queries import K, LEVELS, N
+from octetflow.plans.queries import BLOCK, K, LEVELS, N
 
 _PATH = "coalesce(lang, '') || '/' || doc_id || '.txt'"
 _F = f"f AS (SELECT doc_id, folder, folder || '/' || {_PATH} AS relative_path, text, strlen(text)::BIGINT AS size FROM (SELECT doc_id, lang, coalesce(source, '') AS folder, coalesce(text, '') AS text FROM documents))"
@@ -135,6 +135,8 @@ h AS (SELECT *, CASE WHEN grey THEN (width + 3) // 4 * 4 ELSE (width + 31) // 32
 + (greatest(1, length(bin(8 * size))) + 8 * strlen({_NAME}) + 3 + 24 + 512 + 7) // 8 AS header_bytes FROM f""",
     "encode_roundtrip": f"WITH {_F} SELECT doc_id, {_NAME} AS filename, {_SHA} AS sha256, TRUE AS hash_ok, TRUE AS sha_ok, TRUE AS crc_ok, TRUE AS verified, TRUE AS compressed FROM f",
     "decode_damaged": f"WITH {_F} SELECT doc_id, FALSE AS hash_ok, FALSE AS sha_ok, FALSE AS crc_ok, FALSE AS verified FROM f WHERE size > 0",
+    "block_fnv": f"WITH {_F} SELECT relative_path, {_fnv('text')} AS fnv, greatest(1, (size + {BLOCK - 1}) // {BLOCK}) AS blocks, size FROM f",
+    "block_shares": f"WITH {_F} SELECT relative_path, share_id, (size + {K - 1}) // {K} AS payload_bytes FROM f, range(1, {N + 1}) r(share_id)",
     "gf256_table": """SELECT a, b, list_reduce(range(7, -1, -1), lambda r, k: xor(CASE WHEN r >= 128 THEN xor(2 * r, 285) ELSE 2 * r END, CASE WHEN (b >> k) & 1 = 1 THEN a ELSE 0 END), 0::BIGINT) AS product
 FROM range(256) x(a), range(256) y(b)""",
     "share_sizes": f"""WITH {_F} SELECT doc_id, share_id, (size + {K - 1}) // {K} AS payload_bytes, (size + {K - 1}) // {K} + 101 AS share_bytes, {N} / {K}::DOUBLE AS storage_ratio, {N - K}::BIGINT AS redundancy

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octetflow.functions import codecs, container, digests, gf256, names
-from octetflow.operators import archive, chunking, compare, delta, images, shares
+from octetflow.operators import archive, blocks, chunking, compare, delta, images, shares
 
 #: A level of each codec, for the queries; the tests go through all.
 LEVELS = [2, 8, 16]
@@ -18,6 +18,8 @@ N, K = 5, 3
 KEY, COEFFICIENTS, PASSWORD = bytes(range(32)), bytes(k * 7 & 255 for k in range(64)), "demonstration"
 #: Bytes of an archive, give or take its last entry.
 VOLUME = 64 << 20
+#: Bytes of a block, and of a block for each share that is needed.
+BLOCK = 4096
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,6 +247,21 @@ def decode_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "hash_ok", "sha_ok", "crc_ok", "verified")
 
 
+def block_fnv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of files that come in blocks, as those do that are too large for one value."""
+    f = files(spark, sf_dir).select("relative_path", "content")
+    return blocks.fnv(blocks.cut(f, BLOCK, "relative_path")).withColumnRenamed("path", "relative_path")
+
+
+def block_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the payloads that dispersal makes block by block."""
+    f = spread(files(spark, sf_dir)).select("relative_path", "content")
+    size = BLOCK * K
+    parts = blocks.disperse(blocks.cut(f, size, "relative_path"), N, K, KEY, KEY[:24], size)
+    sums = parts.groupBy("path", "share_id").agg(F.sum(F.octet_length("bytes")).alias("payload_bytes"))
+    return sums.select(F.col("path").alias("relative_path"), F.col("share_id").cast("long").alias("share_id"), "payload_bytes")
+
+
 def gf256_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     def times(a, b):
         return pa.array(gf256.MUL[a.to_numpy(), b.to_numpy()].astype("int64"))
@@ -274,7 +291,7 @@ def shares_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     file_digests, hash_sha256, hash_crc32, hash_fnv1a, hash_xxh3, hash_blake2b, folder_listing, folder_digest, folder_compare, folder_summary, folder_only_left, folder_only_right,
     folder_common, folder_identical, folder_report, path_names, metadata_json, archive_layout, archive_pieces, pack_roundtrip, zip_roundtrip, format_detect, compress_roundtrip,
-    compress_stats, chunk_cuts, chunk_dedup, diff_ops, patch_size, patch_roundtrip, patch_commands, bmp_geometry, header_size, encode_roundtrip, decode_damaged, gf256_table,
+    compress_stats, chunk_cuts, chunk_dedup, diff_ops, patch_size, patch_roundtrip, patch_commands, bmp_geometry, header_size, encode_roundtrip, decode_damaged, block_fnv, block_shares, gf256_table,
     share_sizes, integrate_roundtrip, shares_agree,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
