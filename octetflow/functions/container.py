@@ -159,7 +159,7 @@ def bmp_encode(data: bytes, header: bytes = b"", key: str | bytes | None = None,
     bits, colours = (8, 256) if grey else (1, 2)
     body = batch_cipher(key_bytes(key), data) if key is not None else data
     head = struct.pack("<HIHHI", 0x4D42, at + pixels, 0, 0, at) + struct.pack("<IiiHHIIiiII", 40, width, width, 1, bits, 0, pixels, 0, 0, colours, colours)
-    return head + table + header + body + bytes(pixels - len(data))
+    return b"".join([head, table, header, body, bytes(pixels - len(data))])
 
 
 def bmp_fields(image: bytes) -> dict[str, int]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from octetflow.functions import chacha, gf256
 from octetflow.functions.digests import key_bytes, mac_key
 from octetflow.operators.folds import fnv_in_order
+from octetflow.operators.shares import payloads
 
 
 def cut(files: DataFrame, size: int = chacha.BATCH, path: str = "path", content: str = "content") -> DataFrame:
@@ -39,7 +40,7 @@ def cipher(blocks: DataFrame, key: str | bytes) -> DataFrame:
     secret = key_bytes(key)
 
     def run(no, data):
-        return pa.array([chacha.chacha20(secret, n.to_bytes(8, "little") + bytes(4), d) for n, d in zip(no.to_pylist(), data.to_pylist(), strict=True)], pa.binary())
+        return pa.array(chacha.chacha20_many(secret, [n.to_bytes(8, "little") + bytes(4) for n in no.to_pylist()], data.to_pylist()), pa.binary())
 
     return blocks.withColumn("bytes", F.arrow_udf(run, "binary")("block_no", "bytes"))
 
@@ -50,11 +51,9 @@ def disperse(blocks: DataFrame, n: int, k: int, key: bytes, nonce: bytes, size:
         raise ValueError("blocks must hold a multiple of 64 k bytes")
 
     def run(no, data):
-        out = []
-        for b, d in zip(no.to_pylist(), data.to_pylist(), strict=True):
-            secret = chacha.xchacha20(key, nonce, d + bytes(-len(d) % k), b * size // 64)
-            parts = gf256.product(gf256.powers(list(range(1, n + 1)), k), np.frombuffer(secret, np.uint8).reshape(-1, k).T)
-            out.append([{"share_id": i + 1, "bytes": p.tobytes()} for i, p in enumerate(parts)])
+        items = data.to_pylist()
+        made = payloads(items, n, k, key, [nonce] * len(items), [b * size // 64 for b in no.to_pylist()])
+        out = [[{"share_id": i + 1, "bytes": p} for i, p in enumerate(parts)] for parts in made]
         return pa.array(out, pa.list_(pa.struct([("share_id", pa.int32()), ("bytes", pa.binary())])))
 
     made = F.arrow_udf(run, "array<struct<share_id:int,bytes:binary>>")("block_no", "bytes")

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from octetflow.functions import container as C
+from octetflow.functions.chacha import batch_cipher_many
 from octetflow.functions.codecs import compress, decompress
+from octetflow.functions.digests import key_bytes
 from octetflow.operators.archive import unpack_entries
 
 _STATUS = pa.struct([("filename", pa.string()), ("content", pa.binary()), ("hash_ok", pa.bool_()), ("sha_ok", pa.bool_()), ("crc_ok", pa.bool_()), ("verified", pa.bool_()), ("compressed", pa.bool_()), ("packed", pa.bool_()), ("error", pa.string())])
@@ -25,41 +27,55 @@ def encode(
 
     def run(names, data):
         out = []
-        for n, d in zip(names.to_pylist(), data.to_pylist(), strict=True):
-            d = compress(d, level) if level and d else d
+        stored = [compress(d, level) if level and d else d for d in data.to_pylist()]
+        secret = batch_cipher_many(key_bytes(key), stored) if key is not None else stored
+        for n, d, body in zip(names.to_pylist(), stored, secret, strict=True):
             head = C.header_for(d, n.rsplit("/", 1)[-1], key is not None, bool(level), packed, with_hash=with_hash, sha=sha, crc=crc)
             fields = C.HeaderReader(head.to_bytes()).as_strings()
             apart = {"original_filename": fields.pop("filename"), **fields} if two_file else {}
             apart.pop("encrypted", None)
-            out.append({"image": C.bmp_encode(d, b"" if two_file else head.to_bytes(), key, grey), "metadata": list(apart.items())})
+            out.append({"image": C.bmp_encode(body, b"" if two_file else head.to_bytes(), grey=grey), "metadata": list(apart.items())})
         return pa.array(out, pa.struct([("image", pa.binary()), ("metadata", pa.map_(pa.string(), pa.string()))]))
 
     made = files.withColumn("made", F.arrow_udf(run, "struct<image:binary,metadata:map<string,string>>")(F.col(name), F.col(content)))
     return made.withColumn("image", F.col("made.image")).withColumns({"metadata": F.col("made.metadata")} if two_file else {}).drop("made")
 
 
+def _payload(raw: bytes, beside, key, errors) -> tuple[dict, bytes, bool, str | None]:
+    """(fields, stored payload, whether to decipher it, error)"""
+    try:
+        head = C.bmp_header(raw)
+        if head is not None:
+            fields, secret = head.as_strings(), head.boolean("encrypted")
+        elif beside is not None:
+            fields, secret = dict(beside), key is not None
+            fields["filename"] = fields["original_filename"]
+        else:
+            raise ValueError("the image holds no header")
+        return fields, C.bmp_decode(raw, int(fields["binary_length"]) // 8), bool(secret and key is not None), None
+    except errors as e:
+        return {}, b"", False, str(e) or type(e).__name__
+
+
 def decode(images: DataFrame, image: str = "image", key: str | bytes | None = None, metadata: str | None = None) -> DataFrame:
     """``images`` with filename, content (decompressed where it was compressed), hash_ok, sha_ok, crc_ok (null: not stored), verified, compressed, packed and error. A damaged
     image gives an error in its row and fails nothing else. ``metadata``: a column with the map of images without a header."""
 
     def run(data, apart):
-        out = []
-        for raw, beside in zip(data.to_pylist(), apart.to_pylist(), strict=True):
+        out, errors = [], (ValueError, KeyError, OSError, EOFError)
+        found = [_payload(raw, beside, key, errors) for raw, beside in zip(data.to_pylist(), apart.to_pylist(), strict=True)]
+        hidden = [k for k, (_, _, secret, _) in enumerate(found) if secret]
+        plain = dict(zip(hidden, batch_cipher_many(key_bytes(key), [found[k][1] for k in hidden]) if hidden else [], strict=True))
+        for k, (fields, body, _, error) in enumerate(found):
             row = dict.fromkeys(x.name for x in _STATUS)
             try:
-                head = C.bmp_header(raw)
-                if head is not None:
-                    fields, secret = head.as_strings(), head.boolean("encrypted")
-                elif beside is not None:
-                    fields, secret = dict(beside), key is not None
-                    fields["filename"] = fields["original_filename"]
-                else:
-                    raise ValueError("the image holds no header")
-                body = C.bmp_decode(raw, int(fields["binary_length"]) // 8, key if secret else None)
+                if error:
+                    raise ValueError(error)
+                body = plain.get(k, body)
                 seen = C.verify(body, {k: fields.get(k, "") for k in ("hash", "SHA", "CRC")})
                 row |= {"filename": fields["filename"], "hash_ok": seen["hash"], "sha_ok": seen["SHA"], "crc_ok": seen["CRC"], "verified": seen["overall"], "compressed": fields.get("compress") == "true", "packed": fields.get("pack") == "true"}
                 row["content"] = decompress(body) if row["compressed"] and body else body
-            except (ValueError, KeyError, OSError, EOFError) as e:
+            except errors as e:
                 row |= {"error": str(e), "verified": False}
             out.append(row)
         return pa.array(out, _STATUS)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import hmac
 import struct
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from octetflow.functions.chacha import xchacha20
+from octetflow.functions.chacha import xchacha20_many
 from octetflow.functions.digests import mac_key, same
 from octetflow.functions.gf256 import inverse, join_secret, powers, product, split_secret
 
@@ -26,22 +25,31 @@ def check(n: int, k: int) -> None:
         raise ValueError("1 <= k <= n <= 255 is needed")
 
 
-def payloads(data: bytes, n: int, k: int, key: bytes, nonce: bytes) -> list[bytes]:
-    """Ciphertext of the padded data, each k bytes of it made n bytes. Blocks are independent: the cipher counts 64-byte blocks from the file's start."""
-    cipher = xchacha20(key, nonce, data + bytes(-len(data) % k))
-    columns = np.frombuffer(cipher, np.uint8).reshape(-1, k).T
-    return [x.tobytes() for x in product(powers(list(range(1, n + 1)), k), columns)]
+def payloads(items: list[bytes], n: int, k: int, key: bytes, nonces: list[bytes], counters: list[int] | None = None) -> list[list[bytes]]:
+    """For each item the payloads of its n shares: ciphertext of the padded data, each k bytes of it made n bytes. All items go through one product. ``counters``: where in its file's
+    key stream an item begins, in blocks of 64 bytes."""
+    secret = xchacha20_many(key, nonces, [d + bytes(-len(d) % k) for d in items], counters)
+    made = product(powers(list(range(1, n + 1)), k), np.frombuffer(b"".join(secret), np.uint8).reshape(-1, k).T)
+    ends = np.cumsum([len(x) // k for x in secret]).tolist()
+    return [[made[i, lo:hi].tobytes() for i in range(n)] for lo, hi in zip([0, *ends], ends, strict=False)]
 
 
-def split(data: bytes, n: int, k: int, key: bytes, nonce: bytes, coefficients: bytes) -> list[dict]:
-    """Key, nonce and coefficients (32 * (k - 1) bytes) are given, drawn once by the caller: a retried task must make the same shares."""
+def split_many(items: list[bytes], n: int, k: int, key: bytes, nonces: list[bytes], coefficients: bytes) -> list[list[dict]]:
+    """Key, nonces and coefficients (32 * (k - 1) bytes) are given, drawn once by the caller: a retried task must make the same shares."""
     check(n, k)
-    parts, secrets = payloads(data, n, k, key, nonce), split_secret(key, n, k, coefficients)
-    return [{"share_id": i + 1, "k": k, "orig_size": len(data), "nonce": nonce, "key_share": s, "hmac": hmac.new(mac_key(key), p, hashlib.sha256).digest(), "payload": p} for i, (p, s) in enumerate(zip(parts, secrets, strict=True))]
+    secrets, sealed = split_secret(key, n, k, coefficients), mac_key(key)
+    out = []
+    for d, nonce, parts in zip(items, nonces, payloads(items, n, k, key, nonces), strict=True):
+        out.append([{"share_id": i + 1, "k": k, "orig_size": len(d), "nonce": nonce, "key_share": s, "hmac": hmac.digest(sealed, p, "sha256"), "payload": p} for i, (p, s) in enumerate(zip(parts, secrets, strict=True))])
+    return out
 
 
-def integrate(shares: list[dict]) -> bytes:
-    """The file from the first k shares; more are ignored."""
+def split(data: bytes, n: int, k: int, key: bytes, nonce: bytes, coefficients: bytes) -> list[dict]:
+    return split_many([data], n, k, key, [nonce], coefficients)[0]
+
+
+def _checked(shares: list[dict]) -> tuple[tuple[int, ...], bytes, list[dict]]:
+    """Ids, key and the first k shares, verified."""
     if not shares:
         raise ValueError("there are no shares")
     k = shares[0]["k"]
@@ -50,15 +58,36 @@ def integrate(shares: list[dict]) -> bytes:
     shares = shares[:k]
     if len({(s["k"], s["orig_size"], s["nonce"], len(s["payload"])) for s in shares}) != 1:
         raise ValueError("the shares are not of one file")
-    ids, size = [s["share_id"] for s in shares], shares[0]["orig_size"]
-    key = join_secret([s["key_share"] for s in shares], ids)
+    ids = tuple(s["share_id"] for s in shares)
+    key = join_secret([s["key_share"] for s in shares], list(ids))
+    sealed = mac_key(key)
     for s in shares:
-        if not same(hmac.new(mac_key(key), s["payload"], hashlib.sha256).digest(), s["hmac"]):
+        if not same(hmac.digest(sealed, s["payload"], "sha256"), s["hmac"]):
             raise ValueError(f"share {s['share_id']} is damaged")
-    if size > k * len(shares[0]["payload"]):
+    if shares[0]["orig_size"] > k * len(shares[0]["payload"]):
         raise ValueError("the size named is more than the shares hold")
-    stacked = np.array([np.frombuffer(s["payload"], np.uint8) for s in shares])
-    return xchacha20(key, shares[0]["nonce"], product(inverse(powers(ids, k)), stacked).T.tobytes())[:size]
+    return ids, key, shares
+
+
+def integrate_many(groups: list[list[dict]]) -> list[bytes]:
+    """The files from the first k shares of each group; more are ignored. Groups of the same ids and key go through one product."""
+    alike: dict[tuple, list[tuple[int, list[dict]]]] = {}
+    for i, g in enumerate(groups):
+        ids, key, shares = _checked(g)
+        alike.setdefault((ids, key), []).append((i, shares))
+    out = [b""] * len(groups)
+    for (ids, key), members in alike.items():
+        stacked = np.array([np.frombuffer(b"".join(s[r]["payload"] for _, s in members), np.uint8) for r in range(len(ids))])
+        plain = product(inverse(powers(list(ids), len(ids))), stacked).T.tobytes()
+        cuts = np.cumsum([0] + [len(ids) * len(s[0]["payload"]) for _, s in members]).tolist()
+        secret = [plain[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        for (i, s), data in zip(members, xchacha20_many(key, [s[0]["nonce"] for _, s in members], secret), strict=True):
+            out[i] = data[: s[0]["orig_size"]]
+    return out
+
+
+def integrate(shares: list[dict]) -> bytes:
+    return integrate_many([shares])[0]
 
 
 def write_share(s: dict) -> bytes:
@@ -83,7 +112,7 @@ def split_files(files: DataFrame, n: int, k: int, key: bytes, coefficients: byte
     own = F.col(nonce) if nonce else F.substring(F.unhex(F.sha2(F.concat(F.encode(path, "utf-8"), F.lit(b"\0"), F.col(content)), 256)), 1, 24)
 
     def run(data, nonces):
-        return pa.array([split(d, n, k, key, x, coefficients) for d, x in zip(data.to_pylist(), nonces.to_pylist(), strict=True)], pa.list_(_KIND))
+        return pa.array(split_many(data.to_pylist(), n, k, key, nonces.to_pylist(), coefficients), pa.list_(_KIND))
 
     return files.select(path, F.explode(F.arrow_udf(run, f"array<{SCHEMA}>")(F.col(content), own)).alias("s")).select(path, "s.*")
 
@@ -92,7 +121,7 @@ def integrate_files(shares: DataFrame, path: str = "path", order: str = "share_i
     """(path, content) from the first k shares of each file by ``order``. Shares that do not agree, too few, or damaged ones fail."""
 
     def run(groups):
-        return pa.array([integrate([s["s"] for s in sorted(g, key=lambda x: x["o"])]) for g in groups.to_pylist()], pa.binary())
+        return pa.array(integrate_many([[s["s"] for s in sorted(g, key=lambda x: x["o"])] for g in groups.to_pylist()]), pa.binary())
 
     grouped = shares.groupBy(path).agg(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*FIELDS).alias("s"))).alias("g"))  # 255 shares at most
     return grouped.select(path, F.arrow_udf(run, "binary")("g").alias("content"))
