@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from octetflow.operators.chunking import chunk_rows
+from octetflow.functions.digests import word_fnv_many
+from octetflow.operators.chunking import chunk_rows, cuts
 
 MARK, COPY, INSERT = 0xFF, 0, 1
 _HEAD, _COPY, _INSERT = "<BQ", "<BQI", "<BI"
@@ -87,15 +88,35 @@ def apply_patch(source: bytes, patch: bytes) -> bytes:
     return whole
 
 
+def file_ops(pairs: list[tuple[bytes, bytes]]) -> list[list[tuple[str, int | None, int, int]]]:
+    """For each (source, target) the commands (op, src_pos, dst_pos, len), as ``diff_ops`` finds them; chunks of all files are hashed at once."""
+    found = [(cuts(a), cuts(b)) for a, b in pairs]
+    hashes = iter(word_fnv_many([data[p : p + n] for pair, both in zip(pairs, found, strict=True) for data, parts in zip(pair, both, strict=True) for p, n, _ in parts]).tolist())
+    out = []
+    for (src, dst), (old, new) in zip(pairs, found, strict=True):
+        last = {next(hashes): p for p, _, _ in old}
+        ops, done = [], 0
+        for p, n, _ in new:
+            at = last.get(next(hashes))
+            if at is not None and src[at : at + n] == dst[p : p + n]:
+                if p > done:
+                    ops.append(("INSERT", None, done, p - done))
+                ops.append(("COPY", at, p, n))
+                done = p + n
+        out.append(ops + ([("INSERT", None, done, len(dst) - done)] if len(dst) > done else []))
+    return out
+
+
 def make_patches(source: DataFrame, target: DataFrame, key: str = "path") -> DataFrame:
-    """(key, patch, dst_sha256): a patch for each file of the target; files that the source lacks are inserted whole."""
+    """(key, patch, dst_sha256): a patch for each file of the target; files that the source lacks are inserted whole. One join brings the two versions of a file together, and
+    all else happens where they are."""
 
-    def run(content, ops):
-        return pa.array([write_patch(c, [(o["op"], o["src_pos"], o["dst_pos"], o["len"]) for o in sorted(x or [], key=lambda o: o["seq"])]) for c, x in zip(content.to_pylist(), ops.to_pylist(), strict=True)], pa.binary())
+    def run(old, new):
+        pairs = [(a or b"", b) for a, b in zip(old.to_pylist(), new.to_pylist(), strict=True)]
+        return pa.array([write_patch(b, ops) for (_, b), ops in zip(pairs, file_ops(pairs), strict=True)], pa.binary())
 
-    ops = diff_ops(source, target, key).groupBy(key).agg(F.collect_list(F.struct("seq", "op", "src_pos", "dst_pos", "len")).alias("ops"))  # of one file
-    joined = target.select(key, "content").join(ops, key, "left")
-    return joined.select(key, F.arrow_udf(run, "binary")("content", "ops").alias("patch"), F.sha2("content", 256).alias("dst_sha256"))
+    joined = target.select(key, "content").join(source.select(key, F.col("content").alias("old")), key, "left")
+    return joined.select(key, F.arrow_udf(run, "binary")("old", "content").alias("patch"), F.sha2("content", 256).alias("dst_sha256"))
 
 
 def apply_patches(source: DataFrame, patches: DataFrame, key: str = "path") -> DataFrame:
