@@ -84,5 +84,9 @@ def reduction_percent(before: Column, after: Column) -> Column:
     return F.when(before > 0, (1 - after / before) * 100)
 
 
+def expansion_percent(before: Column, after: Column) -> Column:
+    return F.when(before > 0, (after / before - 1) * 100)
+
+
 def throughput_mib(size: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, size / F.lit(1048576.0) / seconds)
