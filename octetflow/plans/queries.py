@@ -42,8 +42,9 @@ def later(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Small inputs come as one task; byte work is dealt out by id."""
-    return df.repartition("doc_id")
+    """Byte work is dealt out by id where the scan has fewer tasks than there are cores, as with one small file; larger inputs stay where they are, without a shuffle."""
+    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition("doc_id") if few else df
 
 
 def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
