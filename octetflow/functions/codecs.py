@@ -10,9 +10,10 @@ import zstandard
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a level means to each codec (dictionaries in MiB), the formats' first bytes and names.
 LZ4_LEVELS = {1: 1, 2: 3, 3: 6, 4: 4, 5: 7, 6: 9}
-XZ_DICT = dict(zip(range(16, 22), (64, 128, 128, 256, 128, 256), strict=True))
-XZ_DEPTH = dict(zip(range(16, 22), (512, 512, 1000, 1000, 2000, 2000), strict=True))
+XZ_DICT = {16: 64, 17: 128, 18: 128, 19: 256, 20: 128, 21: 256}
+XZ_DEPTH = {16: 512, 17: 512, 18: 1000, 19: 1000, 20: 2000, 21: 2000}
 MAGIC = [(b"\x04\x22\x4d\x18", "LZ4 Frame"), (b"\x28\xb5\x2f\xfd", "ZSTD"), (b"\xfd7zXZ\x00", "LZMA2/XZ")]
 UNKNOWN = "Unknown"
 

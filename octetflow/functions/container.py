@@ -12,6 +12,7 @@ import xxhash
 from octetflow.functions.chacha import batch_cipher
 from octetflow.functions.digests import key_bytes
 
+# Types of fields, first bytes and version of a header, and its layouts.
 UINT8, UINT16, UINT32, UINT64, STRING, BOOL, FLOAT, DOUBLE = 0x01, 0x02, 0x04, 0x08, 0x10, 0x20, 0x30, 0x40
 MAGIC, FORMAT = 0x41494F48, 1
 _HEAD, _ENTRY = "<IHII", "<BIIH"

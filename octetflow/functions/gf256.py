@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
+# Fixed value.
 POLYNOMIAL = 0x11D
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from octetflow.functions.digests import word_fnv_many
 
+# Bytes of a chunk at which its rule changes.
 LEAST, MIDDLE, LATE, MOST = 256, 512, 768, 1024
 # The rolling hash's word for each byte. Chunk boundaries depend on them. Bytes 192 to 255 stand for 0.
 # fmt: off

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from octetflow.functions.digests import word_fnv_many
 from octetflow.operators.chunking import chunk_rows, cuts
 
+# First byte of a patch, its commands and their layouts.
 MARK, COPY, INSERT = 0xFF, 0, 1
 _HEAD, _COPY, _INSERT = "<BQ", "<BQI", "<BI"
 

@@ -14,6 +14,7 @@ from octetflow.functions.chacha import xchacha20_many
 from octetflow.functions.digests import mac_key, same
 from octetflow.functions.gf256 import inverse, join_secret, powers, product, split_secret
 
+# Fixed value: layout of a share's header.
 _HEAD = "<BIQ24s32s32s"
 FIELDS = ["share_id", "k", "orig_size", "nonce", "key_share", "hmac", "payload"]
 _KIND = pa.struct([("share_id", pa.int32()), ("k", pa.int32()), ("orig_size", pa.int64()), ("nonce", pa.binary()), ("key_share", pa.binary()), ("hmac", pa.binary()), ("payload", pa.binary())])
