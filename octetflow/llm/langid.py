@@ -26,7 +26,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 
 def letters(text: str | None) -> str:
     """Runs of letters, lower-cased, one space before and after each."""
-    found = _LETTERS.findall((text or "").lower())
+    found = [w for w in _LETTERS.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]  # of digits like ² alone, none
     return f" {' '.join(found)} " if found else ""
 
 

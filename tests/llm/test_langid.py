@@ -79,7 +79,7 @@ def test_edges(spark):
     rows = [(i, t, la, "c") for i, (t, la) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de")] * 20)] + [(100, "x", None, None), (101, None, "en", None), (None, "the", "en", None)]
     train = spark.createDataFrame(rows, schema)
     model = fit(train)
-    odd = spark.createDataFrame([(1, None, "en", "c"), (2, "", None, None), (3, "123 ?! 😀", None, None), (4, "the", None, None), (4, "the", None, None), (None, "Hund", None, None), (5, "the cat " * 100_000, None, None)], schema)
+    odd = spark.createDataFrame([(1, None, "en", "c"), (2, "", None, None), (3, "123 ?! 😀 ½ ²", None, None), (4, "the", None, None), (4, "the", None, None), (None, "Hund", None, None), (5, "the cat " * 100_000, None, None)], schema)
     got = sorted(((r.doc_id, r.lang_pred) for r in identify(odd, model).collect()), key=str)
     assert got == sorted([(1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en"), (None, "de"), (5, "en")], key=str)
     assert identify(odd.limit(0), model).count() == 0
