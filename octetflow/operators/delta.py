@@ -19,7 +19,26 @@ _HEAD, _COPY, _INSERT = "<BQ", "<BQI", "<BI"
 def diff_ops(source: DataFrame, target: DataFrame, key: str = "path") -> DataFrame:
     """(key, seq, op, src_pos, dst_pos, len): ``source`` and ``target`` have (key, content), one row a file.
 
-    A chunk of the target is copied if the last chunk of the source with its hash has its bytes; what lies between copies is inserted. Adjacent copies stay apart."""
+    A chunk of the target is copied if the last chunk of the source with its hash has its bytes; what lies between copies is inserted. Adjacent copies stay apart. One join brings
+    the two versions of a file together, and all else happens where they are."""
+    kind = pa.list_(pa.struct([("op", pa.string()), ("src_pos", pa.int64()), ("dst_pos", pa.int64()), ("len", pa.int64())]))
+
+    def run(old, new):
+        found = file_ops([(a or b"", b or b"") for a, b in zip(old.to_pylist(), new.to_pylist(), strict=True)])
+        return pa.array([[dict(zip(("op", "src_pos", "dst_pos", "len"), o, strict=True)) for o in ops] for ops in found], kind)
+
+    made = F.arrow_udf(run, "array<struct<op:string,src_pos:bigint,dst_pos:bigint,len:bigint>>")
+    rows = _versions(source, target, key).select(key, F.posexplode(made("old", "content")).alias("seq", "o"))
+    return rows.select(key, F.col("seq").cast("long").alias("seq"), "o.*")
+
+
+def _versions(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """(key, content, old)"""
+    return target.select(key, "content").join(source.select(key, F.col("content").alias("old")), key, "left")
+
+
+def diff_by_join(source: DataFrame, target: DataFrame, key: str = "path") -> DataFrame:
+    """The rows of ``diff_ops`` by a join of chunks: three shuffles more, for sources and targets that one task should not hold together."""
     index = chunk_rows(source.select(key, "content"), with_bytes=True).groupBy(key, "hash").agg(F.max(F.struct("pos", "bytes")).alias("s"))
     parts = chunk_rows(target.select(key, "content"), with_bytes=True).select(key, "pos", "len", "hash", "bytes")
     same = F.substring(F.col("s.bytes"), F.lit(1), F.col("len")) == F.col("bytes")
@@ -116,8 +135,7 @@ def make_patches(source: DataFrame, target: DataFrame, key: str = "path") -> Dat
         pairs = [(a or b"", b) for a, b in zip(old.to_pylist(), new.to_pylist(), strict=True)]
         return pa.array([write_patch(b, ops) for (_, b), ops in zip(pairs, file_ops(pairs), strict=True)], pa.binary())
 
-    joined = target.select(key, "content").join(source.select(key, F.col("content").alias("old")), key, "left")
-    return joined.select(key, F.arrow_udf(run, "binary")("old", "content").alias("patch"), F.sha2("content", 256).alias("dst_sha256"))
+    return _versions(source, target, key).select(key, F.arrow_udf(run, "binary")("old", "content").alias("patch"), F.sha2("content", 256).alias("dst_sha256"))
 
 
 def apply_patches(source: DataFrame, patches: DataFrame, key: str = "path") -> DataFrame:

@@ -35,9 +35,10 @@ def frames(spark):
     return first, spark.createDataFrame([(k, b) for k, (_, b) in v.items()], "path string, content binary")
 
 
-def test_ops(spark):
+@pytest.mark.parametrize("diff", [delta.diff_ops, delta.diff_by_join])
+def test_ops(spark, diff):
     got = {}
-    for r in delta.diff_ops(*frames(spark)).orderBy("path", "seq").collect():
+    for r in diff(*frames(spark)).orderBy("path", "seq").collect():
         got.setdefault(r.path, []).append((r.op, r.src_pos, r.dst_pos, r.len))
     assert got == {k: ops for k, (a, b) in versions().items() if (ops := by_hand(a or b"", b))}
 
