@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from octetflow.llm.bpe import bpe_digests
 from octetflow.llm.common import Scratch, table
 from octetflow.llm.exact import exact_dedup
-from octetflow.llm.mixing import mix
+from octetflow.llm.mixing import TOLERANCE, mix
 from octetflow.llm.quality import classify
 from octetflow.llm.simhash import simhash_groups
 
@@ -36,7 +36,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample of nine tenths of the tokens, raked to tempered source, language and topic shares."""
-    return _keep(docs, mix(docs).filter("sampled"))
+    return _keep(docs, mix(docs, tolerance=TOLERANCE).filter("sampled"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

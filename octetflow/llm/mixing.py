@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import itertools
+import logging
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from octetflow.llm.common import Scratch, lookup, table, unit_hash
 
 ALPHA = {"source": 0.7, "lang": 0.7, "topic": 0.8}
 KEEP, ROUNDS, FILLS, SALT = 0.9, 10, 8, "mix"
+#: Raking that is to settle goes on until no marginal is further than this share of all tokens from its target, for so many rounds at most.
+TOLERANCE, MOST = 1e-6, 1000
+#: Up to this many cells are raked in one task, which needs no exchange.
+ONE_TASK = 200_000
 NONE = "(none)"
 #: Topics by what a text holds, the first that applies; "prose" otherwise.
 TOPICS = [("table", "%|%|%|%"), ("markup", "%\\%\\%\\%%"), ("notice", "%!!%!!%"), ("record", "%=%"), ("contact", "%@%")]
@@ -33,52 +40,71 @@ def tempered(cells: DataFrame, column: str, alpha: float) -> DataFrame:
     return sums.select(column, (F.col("p") / F.lit(every)).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def _rounds(state: DataFrame, columns: list[str], every: float, small: bool, n: int) -> DataFrame:
+    """``n`` rounds of raking; ``gap`` is the largest distance between a marginal's share and its target before a step of the last round.
+    Few cells are one partition, where windows need no exchange; the rounds are one text, as a plan built call by call is analysed at each."""
+    spark, names = state.sparkSession, ", ".join(f"`{c}`" for c in state.columns if c not in ("w", "gap"))
+    query = f"(SELECT {names}, w, 0D AS gap FROM {{state}})"
+    for i, c in enumerate(columns * n):
+        sums = f"(SELECT *, sum(w) OVER (PARTITION BY {c}) AS sum FROM {query})" if small else f"(SELECT * FROM {query} JOIN (SELECT {c}, sum(w) AS sum FROM {query} GROUP BY {c}) USING ({c}))"
+        fixed, share, gap = f"{c}_share IS NULL OR sum <= 0", f"{c}_share", "gap" if i % len(columns) else "0D"
+        query = f"""(SELECT {names}, CASE WHEN {fixed} THEN w ELSE w * {share} / sum * {every!r}D END AS w,
+            CASE WHEN {fixed} THEN {gap} ELSE greatest({gap}, abs(sum / {every!r}D - {share})) END AS gap FROM {sums})"""
+    return spark.sql(f"SELECT * FROM {query}", state=state.coalesce(1) if small else state)
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, rounds: int = ROUNDS, tolerance: float | None = None, most: int = MOST) -> DataFrame:
     """``cells``: one row a combination of the columns of ``targets``, with ``tokens`` (double). Adds ``ratio``, the product of one
     factor a column by which tokens are multiplied so that each column's marginal takes its target share of all tokens.
 
     Each step sets one column's factors from the sums of the cells under the other columns' factors. Cells, not documents, are
-    visited, and their weights are written once a round. Values without a target keep factor 1; values with a target
-    but no tokens have none to scale."""
-    every = F.lit(cells.agg(F.sum("tokens")).first()[0] or 0.0)
+    visited. There are ``rounds`` rounds; with a ``tolerance``, as many more, up to ``most``, as it takes until no marginal is further from its target.
+    Where that is not reached, because the rounds are over or a gap stands still (the cells cannot meet all targets), a warning
+    tells the gap. Values without a target keep factor 1; values with a target but no tokens have none to scale."""
+    total, n = cells.agg(F.sum("tokens"), F.count("*")).first()
+    every, small = float(total or 0.0), n <= ONE_TASK
     state = cells.withColumn("w", F.col("tokens"))
     for column, target in targets.items():
         state = state.join(target.select(column, F.col("share").alias(f"{column}_share")), column, "left")
-    state = scratch.write(state)
-    for _ in range(rounds):
-        step = state
-        for column in targets:
-            share = F.col(f"{column}_share")
-            step = step.join(step.groupBy(column).agg(F.sum("w").alias("sum")), column)
-            step = step.withColumn("w", F.when(share.isNull() | (F.col("sum") <= 0), F.col("w")).otherwise(F.col("w") * share / F.col("sum") * every)).drop("sum")
+    state, done, gap = scratch.write(state.coalesce(1) if small else state), 0, float("inf")
+    while done < rounds or (tolerance is not None and gap > tolerance and done < most):
+        now = min(rounds if small else 1, max(rounds, most) - done)
+        step = _rounds(state, list(targets), every, small, now)
         new = scratch.write(step)
         scratch.drop(state)
-        state = new
+        state, done = new, done + now
+        if tolerance is not None:
+            gap, before = new.agg(F.max("gap")).first()[0] or 0.0, gap
+            if done > rounds and before - gap < 1e-6 * gap * now / rounds:
+                break
+    if tolerance is not None and gap > tolerance:
+        logging.getLogger(__name__).warning("raking did not settle: a marginal is %.2g of all tokens from its target after %d rounds", gap, done)
     return state.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0)).select(*cells.columns, "ratio")
 
 
-def calibrate(cells: DataFrame, keep: float = KEEP, fills: int = FILLS) -> DataFrame:
-    """Adds ``prob``: min(1, k * ratio), with k such that the expected tokens are ``keep`` of all. Where cells reach 1, the others share what is left, again and again."""
+def calibrate(cells: DataFrame, keep: float = KEEP, fills: int | None = FILLS) -> DataFrame:
+    """Adds ``prob``: min(1, k * ratio), with k such that the expected tokens are ``keep`` of all. Where cells reach 1, the others share what is left, again and again:
+    ``fills`` times, or (None) until k stands still."""
     k = 0.0
-    for _ in range(fills):
+    for _ in itertools.count() if fills is None else range(fills):
         full = F.col("ratio") * F.lit(k) >= 1.0  # k only grows
         every, taken, left = cells.agg(F.sum("tokens"), F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("ratio")))).first()
         if not left:
             k = k or 1.0
             break
         new = max(0.0, keep * every - taken) / left
-        if new <= k:
+        if new <= k * (1 + 1e-12):
             break
         k = new
     return cells.withColumn("prob", F.least(F.lit(1.0), F.lit(k) * F.col("ratio")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None,
-        targets: dict[str, DataFrame] | None = None, alpha: dict[str, float] = ALPHA, keep: float = KEEP, rounds: int = ROUNDS, salt: str = SALT) -> DataFrame:
+        targets: dict[str, DataFrame] | None = None, alpha: dict[str, float] = ALPHA, keep: float = KEEP, rounds: int = ROUNDS, salt: str = SALT, tolerance: float | None = None) -> DataFrame:
     """One row a row of ``docs``: id_col, source, lang, topic, n_tokens (words), weight, prob, sampled.
 
     ``targets``: for source, lang or topic a table (that column, share); where none is given, the token shares tempered
-    by ``alpha``. weight is the raked ratio of the document's cell; prob the calibrated chance of being sampled; sampled is fixed by a hash of the id, so that a
+    by ``alpha``. Without a ``tolerance`` there are as many rounds and fills as the SQL has; with one both go on until they settle. weight is the raked ratio of the document's cell; prob the calibrated chance of being sampled; sampled is fixed by a hash of the id, so that a
     rerun, or a retried task, samples the same documents. Null source or language: the value "(none)". Null and empty texts have no tokens;
     they are sampled like their cell. A null id is never sampled. Repeated rows count each and share their fate. No documents, no rows."""
     scratch = Scratch(docs.sparkSession, "mix")
@@ -89,14 +115,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = scratch.write(rows.groupBy("cell", "source", "lang", "topic").agg(F.sum("n_tokens").cast("double").alias("tokens"), F.count("*").alias("n")))
     given = targets or {}
     wanted = {c: given[c].select(c, "share") if c in given else scratch.write(tempered(cells, c, alpha[c])) for c in ("source", "lang", "topic")}
-    cells = calibrate(scratch.write(rake(cells, wanted, scratch, rounds)), keep)
+    cells = calibrate(scratch.write(rake(cells, wanted, scratch, rounds, tolerance)), keep, FILLS if tolerance is None else None)
     out = lookup(rows, cells.select("cell", "n", "ratio", "prob"), "cell", "n", rows.count())
     sampled = F.coalesce(unit_hash(F.col("id"), salt) < F.col("prob"), F.lit(False))
     return out.select(F.col("id").alias(id_col), "source", "lang", "topic", "n_tokens", F.round("ratio", 6).alias("weight"), F.round("prob", 6).alias("prob"), sampled.alias("sampled"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents"), tolerance=TOLERANCE)
 
 
 def _oracle() -> str:

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 from octetflow.llm.common import Scratch
-from octetflow.llm.mixing import ORACLE, mix, rake
+from octetflow.llm.mixing import ALPHA, ORACLE, TOLERANCE, calibrate, mix, rake, tempered
 
 SCHEMA = "doc_id long, text string, lang string, source string, prob string, cell string"
 
@@ -41,3 +41,38 @@ def test_empty_and_null_id(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
     (r,) = mix(spark.createDataFrame([(None, "a b", "en", "s", None, None)], SCHEMA), keep=1.0).collect()
     assert not r.sampled and r.n_tokens == 2
+
+
+def skewed(spark, off):
+    """A hot source with a third of the tokens; each source almost in one language and one topic."""
+    cells = []
+    for s in range(12):
+        for la in range(4):
+            for t in range(5):
+                near = ((1 - off) if la == s % 4 else off / 3) * ((1 - off) if t == s % 5 else off / 4)
+                cells.append((f"s{s}", f"l{la}", f"t{t}", 1e6 * near * (1 / 3 if s == 0 else 2 / 33)))
+    return spark.createDataFrame(cells, "source string, lang string, topic string, tokens double")
+
+
+def test_raking_goes_on_until_skewed_cells_meet_their_targets(spark, caplog):
+    cells = skewed(spark, 0.05)
+    want = {c: tempered(cells, c, a) for c, a in ALPHA.items()}
+    got = rake(cells, want, Scratch(spark, "t"), tolerance=TOLERANCE).toPandas()
+    for c in want:
+        share = (got.tokens * got.ratio).groupby(got[c]).sum() / got.tokens.sum()
+        target = want[c].toPandas().set_index(c).share
+        assert (share - target).abs().max() <= 2 * TOLERANCE
+    assert not caplog.records
+
+
+def test_targets_that_cannot_be_met_are_reported(spark, caplog):
+    cells = spark.createDataFrame([("a", "x", 30.0), ("b", "y", 70.0)], "source string, lang string, tokens double")
+    want = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "source string, share double"), "lang": spark.createDataFrame([("x", 0.1), ("y", 0.9)], "lang string, share double")}
+    assert rake(cells, want, Scratch(spark, "t"), tolerance=TOLERANCE).count() == 2
+    assert "did not settle" in caplog.text and "0.4" in caplog.text
+
+
+def test_filling_goes_on_until_the_sum_is_right(spark):
+    cells = spark.createDataFrame([(1.0, 2.0**i) for i in range(40)], "tokens double, ratio double")
+    short, whole = (df.selectExpr("sum(tokens * prob) / sum(tokens)").first()[0] for df in (calibrate(cells, 0.9), calibrate(cells, 0.9, None)))
+    assert short < 0.8 and whole == pytest.approx(0.9, abs=1e-9)
