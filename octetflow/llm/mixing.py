@@ -82,9 +82,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, roun
     return state.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0)).select(*cells.columns, "ratio")
 
 
-def calibrate(cells: DataFrame, keep: float = KEEP, fills: int | None = FILLS) -> DataFrame:
+def calibrate(cells: DataFrame, keep: float | None = KEEP, fills: int | None = FILLS) -> DataFrame:
     """Adds ``prob``: min(1, k * ratio), with k such that the expected tokens are ``keep`` of all. Where cells reach 1, the others share what is left, again and again:
-    ``fills`` times, or (None) until k stands still."""
+    ``fills`` times, or (None) until k stands still. Cells that reach 1 fall short of their weight; with ``keep`` None k is the largest with which none does, 1 / max(ratio)."""
+    if keep is None:
+        top = cells.filter("tokens > 0").agg(F.max("ratio")).first()[0]
+        return cells.withColumn("prob", F.least(F.lit(1.0), F.col("ratio") / F.lit(top or 1.0)))
     k = 0.0
     for _ in itertools.count() if fills is None else range(fills):
         full = F.col("ratio") * F.lit(k) >= 1.0  # k only grows
@@ -100,11 +103,12 @@ def calibrate(cells: DataFrame, keep: float = KEEP, fills: int | None = FILLS) -
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None,
-        targets: dict[str, DataFrame] | None = None, alpha: dict[str, float] = ALPHA, keep: float = KEEP, rounds: int = ROUNDS, salt: str = SALT, tolerance: float | None = None) -> DataFrame:
+        targets: dict[str, DataFrame] | None = None, alpha: dict[str, float] = ALPHA, keep: float | None = KEEP, rounds: int = ROUNDS, salt: str = SALT, tolerance: float | None = None) -> DataFrame:
     """One row a row of ``docs``: id_col, source, lang, topic, n_tokens (words), weight, prob, sampled.
 
     ``targets``: for source, lang or topic a table (that column, share); where none is given, the token shares tempered
-    by ``alpha``. Without a ``tolerance`` there are as many rounds and fills as the SQL has; with one both go on until they settle. weight is the raked ratio of the document's cell; prob the calibrated chance of being sampled; sampled is fixed by a hash of the id, so that a
+    by ``alpha``. Without a ``tolerance`` there are as many rounds and fills as the SQL has; with one both go on until they settle. At ``keep`` 0.9 most cells
+    that should grow are full and targets are missed; with None they are reached in expectation, by fewer documents. weight is the raked ratio of the document's cell; prob the calibrated chance of being sampled; sampled is fixed by a hash of the id, so that a
     rerun, or a retried task, samples the same documents. Null source or language: the value "(none)". Null and empty texts have no tokens;
     they are sampled like their cell. A null id is never sampled. Repeated rows count each and share their fate. No documents, no rows."""
     scratch = Scratch(docs.sparkSession, "mix")

@@ -76,3 +76,15 @@ def test_filling_goes_on_until_the_sum_is_right(spark):
     cells = spark.createDataFrame([(1.0, 2.0**i) for i in range(40)], "tokens double, ratio double")
     short, whole = (df.selectExpr("sum(tokens * prob) / sum(tokens)").first()[0] for df in (calibrate(cells, 0.9), calibrate(cells, 0.9, None)))
     assert short < 0.8 and whole == pytest.approx(0.9, abs=1e-9)
+
+
+def test_sampled_marginals_meet_their_targets_where_no_cell_is_full(spark):
+    langs, sources = ["en"] * 6 + ["de", "de", "fr"], ["hot"] * 3 + ["a", "b"]
+    df = spark.createDataFrame([(i, "w " * 20, langs[i % 9], sources[i // 9 % 5]) for i in range(9000)], "doc_id long, text string, lang string, source string")
+    whole, most = (mix(df, keep=k, tolerance=TOLERANCE).toPandas() for k in (None, 0.9))
+    gaps = []
+    for got in (whole, most):
+        took = got[got.sampled].groupby("lang").n_tokens.sum() / got[got.sampled].n_tokens.sum()
+        have = got.groupby("lang").n_tokens.sum() ** ALPHA["lang"]
+        gaps.append((took - have / have.sum()).abs().sum())
+    assert gaps[0] < 0.03 < gaps[1]
