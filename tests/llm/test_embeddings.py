@@ -71,3 +71,18 @@ def test_edges(spark):
 def test_one_id_for_different_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])], "vec_id long, embedding array<double>")
     assert {(r.vec_id, r.component_id) for r in near_embeddings(df).collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_recall_at_the_threshold_of_large_tables():
+    rng = np.random.default_rng(0)
+    dim, n = 64, 200
+    a, o = rng.standard_normal((2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o -= (o * a).sum(1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * o / np.linalg.norm(o, axis=1, keepdims=True)
+    for size in (4_500_000, 20_000_000):
+        code, met = CapCode(dim, size), 0
+        for lo in range(0, n, 10):
+            pairs = [set(zip(*(x.tolist() for x in code.decode(v[lo : lo + 10])), strict=True)) for v in (a, b)]
+            met += len({r for r, _ in pairs[0] & pairs[1]})
+        assert met / n > 0.97
