@@ -44,6 +44,9 @@ def _fingerprints(batches):
 
 def masks(blocks: int, radius: int) -> list[tuple[np.uint64, np.ndarray]]:
     """For each projection its mask and the flips to apply: see ``near_pairs``."""
+    left = radius if blocks == 1 else radius - -(-radius // blocks)
+    if radius % 2 or left % 2:  # full keys use the whole ball
+        raise ValueError(f"radius {radius} in {blocks} blocks: balls of half the radius do not hold every pair")
     every = np.uint64(2**64 - 1)
     if blocks == 1:
         parts, half = [every], radius // 2
@@ -149,6 +152,7 @@ def near_pairs(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, blocks: i
     ``crowd`` fingerprints share a variant, comparing all would grow with the square, so those fingerprints emit their whole
     balls: sharing one of these variants implies the link, and a chain through the sharers is exact."""
     sort = lambda df, plan: df.mapInArrow(_emit(plan), "k long, fp long").repartition("k").sortWithinPartitions("k", "fp")
+    masks(1, radius), masks(blocks, radius)  # refuse at once what is not exact
     fps = fps.select("fp")
     if blocks == 1:
         return sort(fps, masks(1, radius)).mapInArrow(_chain, "a long, b long").distinct()

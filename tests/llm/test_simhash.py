@@ -100,3 +100,12 @@ def test_empty_nulls_and_repeats(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash_groups(df).collect()), key=str)
     assert got == [(3, 3), (7, 3), (7, 3), (None, None)]
     assert simhash_groups(df).select(F.sum(F.col("group_size"))).first()[0] == 9
+
+
+@pytest.mark.parametrize(("blocks", "radius"), [(1, 3), (3, 5), (2, 2)])
+def test_parameters_that_lose_links_are_refused(blocks, radius):
+    from octetflow.llm.simhash import masks
+
+    with pytest.raises(ValueError, match="do not hold"):
+        masks(blocks, radius)
+    assert [len(flips) for _, flips in masks(3, 4)] == [44, 44, 43]
