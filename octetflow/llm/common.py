@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octetflow.plans.scratch import shared_dir
+from octetflow.plans.scratch import delete, folder
 
 #: A key is heavy when it holds more than 1/HEAVY_SLOTS of the rows, so that at most HEAVY_SLOTS keys are.
 HEAVY_SLOTS = 1000
@@ -21,10 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables written to the shared folder. Writing one cuts the lineage and survives lost executors."""
+    """Tables written to the shared folder. Writing one cuts the lineage and survives lost executors. Operators drop them once read; those that
+    a returned frame still reads go with the scope or the application."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/octetflow/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, folder(spark, name)
         self.paths: dict[int, str] = {}
         self.n = 0
 
@@ -43,11 +43,6 @@ class Scratch:
                 delete(self.spark, path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def lookup(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int, slots: int = HEAVY_SLOTS) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has one row a key and in ``weight`` the number of rows of ``left``
     with that key (``total``: their sum). Keys with at least 1/slots of the rows are at most ``slots`` (all of

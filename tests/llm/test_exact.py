@@ -42,6 +42,23 @@ def test_index_is_kept_across_batches_and_openings(spark):
     got = {(r.doc_id, r.keep_id, r.kept) for r in again.add(make((3, "A"), (4, "c"), (5, "C"))).collect()}
     assert got == {(3, 1, False), (4, 5, False), (5, 5, True)}
     assert again.table().count() == 3
-    assert {r.kept for r in again.add(make((3, "A"), (4, "c"), (5, "C"))).collect()} == {False}
+    assert {r.kept for r in again.add(make((6, "A"), (7, "c"))).collect()} == {False}
     assert again.table().count() == 3
     again.drop()
+
+
+def test_a_batch_that_failed_can_be_added_again(spark):
+    index = DigestIndex(spark, f"index_{uuid.uuid4().hex}", buckets=3)
+    make = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index.add(make((1, "a"))).collect()
+    docs = make((3, "A"), (4, "c"), (5, "C"), (6, "d"))
+    verdicts = lambda out: {(r.doc_id, r.keep_id, r.kept) for r in out.collect()}
+    want = {(3, 1, False), (4, 5, False), (5, 5, True), (6, 6, True)}
+    append, index._append = index._append, lambda fresh: append(fresh.filter("keep_id = 6"))  # half of it arrives
+    index.add(docs)  # and the verdicts are lost
+    index._append = append
+    assert verdicts(index.add(docs)) == want  # named after its rows
+    assert verdicts(index.add(docs)) == want
+    assert index.table().count() == 3
+    assert verdicts(index.add(docs, batch="other")) == {(i, k, False) for i, k, _ in want}
+    index.drop()
