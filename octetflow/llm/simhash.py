@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,8 @@ from octetflow.llm.common import Scratch, lookup, table
 from octetflow.llm.components import connected_components, local_roots
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
-#: A key's fingerprints are compared with each other up to this many; those of fuller keys use the whole ball. 32 * 132 / 2 comparisons are what a ball of 2,081 variants costs.
-CROWD = 32
+#: First bits by which fingerprints are counted, and variants that a task makes and sorts at a time.
+PREFIX, VARIANTS = 16, 4_000_000
 _CHUNK = 1 << 15
 
 
@@ -36,133 +37,152 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * counts > n).view(">u8")[0])
 
 
-def _fingerprints(batches):
-    for batch in batches:
-        fp = np.fromiter((fingerprint(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
-
+def _fingerprints(shingle: int):
+    def run(batches):
+        for batch in batches:
+            fp = np.fromiter((fingerprint(t, shingle) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-def masks(blocks: int, radius: int) -> list[tuple[np.uint64, np.ndarray]]:
-    """For each projection its mask and the flips to apply: see ``near_pairs``."""
-    left = radius if blocks == 1 else radius - -(-radius // blocks)
-    if radius % 2 or left % 2:  # full keys use the whole ball
-        raise ValueError(f"radius {radius} in {blocks} blocks: balls of half the radius do not hold every pair")
-    every = np.uint64(2**64 - 1)
-    if blocks == 1:
-        parts, half = [every], radius // 2
-    else:
-        cut = [BITS * i // blocks for i in range(blocks + 1)]
-        parts = [every ^ np.uint64(sum(1 << b for b in range(cut[i], cut[i + 1]))) for i in range(blocks)]
-        half = (radius - -(-radius // blocks)) // 2
-    out = []
-    for part in parts:
-        bits = [b for b in range(BITS) if int(part) >> b & 1]
-        out.append((part, np.array([sum(1 << b for b in c) for k in range(half + 1) for c in combinations(bits, k)], np.uint64)))
-    return out
+    return run
 
 
-def _emit(plan):
-    marks = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64) for k in range(len(plan))]
+def ball(bits: int, radius: int) -> np.ndarray:
+    """All flips of ``radius`` or fewer of the ``bits`` lowest bits, as words to XOR with."""
+    return np.array([sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(bits), k)], np.uint64)
+
+
+def ball_size(bits: int, radius: int) -> int:
+    return sum(comb(bits, k) for k in range(radius + 1))
+
+
+def prefix_leaves(counts: np.ndarray, half: int, most: int) -> list[tuple[int, int]]:
+    """Prefixes (length, value) that cut the space of variants so that about ``most`` of them fall to each: full prefixes are cut further, up to the length that ``counts``
+    (fingerprints by their first bits) knows. Prefixes that no variant reaches are left out."""
+    depth = len(counts).bit_length() - 1
+    leaves, open_ = [], np.zeros(1, np.int64)
+    for length in range(depth + 1):
+        if not len(open_):
+            break
+        own = counts.reshape(1 << length, -1).sum(1).astype(np.float64)
+        at = np.arange(1 << length)
+        table = [own] + [np.zeros_like(own) for _ in range(half)]
+        for bit in range(length):  # table[k]: fingerprints whose prefix is k flips away
+            for k in range(half, 0, -1):
+                table[k] = table[k] + table[k - 1][at ^ (1 << bit)]
+        load = sum(table[k] * ball_size(BITS - length, half - k) for k in range(half + 1))[open_]
+        done = (load <= most) | (length == depth)
+        leaves += [(length, int(v)) for v in open_[done & (load > 0)]]
+        open_ = (open_[~done][:, None] * 2 + np.arange(2)).ravel()
+    return leaves
+
+
+def _deal(leaves: list[tuple[int, int]], half: int):
+    """Fingerprints to (leaf, fp), for each prefix that one of their variants has."""
+    plan = []
+    for length in sorted({n for n, _ in leaves}):
+        number = np.full(1 << length, -1, np.int32)
+        for k, (n, v) in enumerate(leaves):
+            if n == length:
+                number[v] = k
+        plan.append((length, number, ball(length, half)))
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                fp = batch.column(0).slice(lo, 256).to_numpy().view(np.uint64)
-                for k, (part, flips) in enumerate(plan):
-                    key = ((fp & part)[:, None] ^ flips[None, :]).ravel()
-                    if len(plan) > 1:  # bits that the projection leaves out tell the projections apart
-                        key |= ~part & marks[k]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(fp, len(flips)).view(np.int64))], ["k", "fp"])
+            fp = batch.column(0).to_numpy().view(np.uint64)
+            for length, number, flips in plan:
+                prefix = fp >> np.uint64(BITS - length) if length else np.zeros_like(fp)
+                leaf = number[(prefix[:, None] ^ flips[None, :]).astype(np.int64)]
+                row, which = np.nonzero(leaf >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[row, which]), pa.array(fp[row].view(np.int64))], ["leaf", "fp"])
 
     return run
 
 
-def _runs(batches, most: int):
-    """Batches of rows sorted by key, cut so that a key's rows stay together; of a longer key only most + 1 rows wait."""
-    wait: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if wait:
-            k, fp = np.concatenate([wait[0][0], k]), np.concatenate([wait[0][1], fp])
-        cut = int(np.searchsorted(k, k[-1], "left"))
-        if cut:
-            yield k[:cut], fp[:cut], True
-        k, fp = k[cut:], fp[cut:]
-        if len(k) > most + 1:
-            yield k[most + 1 :], fp[most + 1 :], False
-            k, fp = k[: most + 1], fp[: most + 1]
-        wait = [(k, fp)]
-    for k, fp in wait:
-        yield k, fp, True
-
-
-def _compare(crowd: int, radius: int):
-    """Sorted (k, fp) to (a, b): links found in keys of at most ``crowd``, as a forest; (fp, fp) for those of fuller keys."""
+def _variant_links(fp: np.ndarray, away: np.ndarray, length: int, half: int, most: int, balls: dict):
+    """Links (a, b), as forests, of fingerprints that share a variant with a given prefix of ``length`` bits; ``away``: flips that each
+    has spent on the prefix. More than ``most`` variants are taken prefix by longer prefix."""
+    bits = BITS - length
+    if len(fp) < 2:
+        return
+    spent = np.bincount(away, minlength=half + 1)
+    if bits and sum(int(c) * ball_size(bits, half - k) for k, c in enumerate(spent)) > most:
+        bit = (fp >> np.uint64(bits - 1) & np.uint64(1)).astype(np.int64)
+        for child in (0, 1):
+            more = away + (bit != child)
+            stay = more <= half
+            yield from _variant_links(fp[stay], more[stay], length + 1, half, most, balls)
+        return
+    low = fp & np.uint64(2**bits - 1)
+    keys, owners = [], []
+    for k in np.flatnonzero(spent).tolist():
+        if (bits, half - k) not in balls:
+            balls[bits, half - k] = ball(bits, half - k)
+        flips, own = balls[bits, half - k], np.flatnonzero(away == k)
+        keys.append((low[own][:, None] ^ flips[None, :]).ravel())
+        owners.append(np.repeat(own, len(flips)))
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    ordered = np.sort(key)
+    shared = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(shared):
+        return
+    shared = shared[np.r_[True, shared[1:] != shared[:-1]]]
+    at = np.searchsorted(shared, key)
+    at[at == len(shared)] = 0
+    hit = np.flatnonzero(shared[at] == key)
+    hit = hit[np.argsort(key[hit], kind="stable")]
+    same = np.flatnonzero(key[hit[1:]] == key[hit[:-1]])
+    yield local_roots(fp[owner[hit[same]]].view(np.int64), fp[owner[hit[same + 1]]].view(np.int64))
+
+
+def _meet(leaves: list[tuple[int, int]], half: int, most: int):
+    """Rows (leaf, fp) sorted by leaf to links (a, b)."""
+
+    def links(leaf: int, fp: np.ndarray, balls: dict):
+        length, value = leaves[leaf]
+        fp = fp.view(np.uint64)
+        prefix = fp >> np.uint64(BITS - length) if length else np.zeros_like(fp)
+        away = np.bitwise_count(prefix ^ np.uint64(value)).astype(np.int64)
+        for u, v in _variant_links(fp, away, length, half, most, balls):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
 
     def run(batches):
-        for k, fp, whole in _runs(batches, crowd):
-            a, b = [], []
-            start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            size = np.diff(np.r_[start, len(k)])
-            full = np.repeat((size > crowd) | (not whole), size)
-            if full.any():
-                crowded = np.unique(fp[full])
-                a.append(crowded), b.append(crowded)
-            few = size[~((size > crowd) | (not whole))]
-            for shift in range(1, int(few.max(initial=1))):  # each row with the one that is shift further on, all keys at once
-                same = np.flatnonzero((k[shift:] == k[:-shift]) & ~full[shift:])
-                x, y = fp[same], fp[same + shift]
-                near = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= radius
-                x, y = x[near], y[near]
-                a.append(np.maximum(x, y)), b.append(np.minimum(x, y))
-            if sum(map(len, a)):
-                a, b = np.concatenate(a), np.concatenate(b)
-                own = a == b
-                u, v = local_roots(a[~own], b[~own]) if not own.all() else (a[:0], a[:0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[a[own], u]), pa.array(np.r_[b[own], v])], ["a", "b"])
+        wait, now, balls = [], -1, {}
+        for batch in batches:
+            leaf, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.r_[0, np.flatnonzero(leaf[1:] != leaf[:-1]) + 1, len(leaf)] if len(leaf) else [0]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if leaf[lo] != now:
+                    if wait:
+                        yield from links(now, np.concatenate(wait), balls)
+                    wait, now = [], int(leaf[lo])
+                wait.append(fp[lo:hi])
+        if wait:
+            yield from links(now, np.concatenate(wait), balls)
 
     return run
 
 
-def _chain(batches):
-    """Sorted (k, fp) to (a, b): each fingerprint of a key with the one before, for keys whose fingerprints are all linked."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if last is not None:
-            k, fp = np.r_[last[0], k], np.r_[last[1], fp]
-        same = np.flatnonzero(k[1:] == k[:-1])
-        last = (k[-1:], fp[-1:])
-        if len(same):
-            u, v = local_roots(fp[same], fp[same + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["a", "b"])
-
-
-def near_pairs(fps: DataFrame, scratch: Scratch, radius: int = RADIUS, blocks: int = 3, crowd: int = CROWD) -> DataFrame:
+def near_pairs(fps: DataFrame, radius: int = RADIUS, most: int = VARIANTS) -> DataFrame:
     """Distinct fingerprints (fp long) to pairs (a, b) whose transitive closure is that of all pairs at ``radius`` or fewer bits.
 
-    Two fingerprints at radius r or less share a variant within r/2 of both. The whole ball (``blocks=1``) has 2,081 variants
-    for r = 4. With three blocks, the third that holds most of the differing bits holds at least two of four, so the
-    fingerprints differ in two bits at most on the other two thirds (42 or 43 bits): there half the radius is one bit,
-    and 3 * 44 variants do. Variants are shuffled, colliding pairs verified on all 64 bits. Where more than
-    ``crowd`` fingerprints share a variant, comparing all would grow with the square, so those fingerprints emit their whole
-    balls: sharing one of these variants implies the link, and a chain through the sharers is exact."""
-    sort = lambda df, plan: df.mapInArrow(_emit(plan), "k long, fp long").repartition("k").sortWithinPartitions("k", "fp")
-    masks(1, radius), masks(blocks, radius)  # refuse at once what is not exact
-    fps = fps.select("fp")
-    if blocks == 1:
-        return sort(fps, masks(1, radius)).mapInArrow(_chain, "a long, b long").distinct()
-    found = scratch.write(sort(fps, masks(blocks, radius)).mapInArrow(_compare(crowd, radius), "a long, b long").distinct())
-    crowded = found.filter("a = b").select(F.col("a").alias("fp"))
-    dense = sort(crowded.repartition("fp"), masks(1, radius)).mapInArrow(_chain, "a long, b long")
-    return found.filter("a <> b").union(dense).distinct()
-
-
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = 3, crowd: int = CROWD) -> DataFrame:
+    Two fingerprints at radius r or less share a variant within r/2 of both, and two that share one are at r or less. So each emits its ball of all
+    variants within r/2 (2,081 for r = 4), and a chain through the sharers of each variant is exact, whatever their number; no pairs are compared.
+    The variants meet by prefix: a fingerprint is sent once to each prefix that its ball reaches, and its variants with that prefix are made, sorted and
+    collided there, ``most`` at a time. Prefixes are as long as their number of variants asks for (known from counts by the first
+    ``PREFIX`` bits, a table of fixed size), so a crowded corner of the space is cut into more tasks."""
+    if radius % 2:
+        raise ValueError(f"radius {radius}: balls of half the radius hold every pair only for even ones")
+    half, fps = radius // 2, fps.select("fp")
+    seen = fps.groupBy(F.shiftrightunsigned("fp", BITS - PREFIX).alias("prefix")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(1 << PREFIX, np.int64)
+    counts[seen.column("prefix").to_numpy()] = seen.column("n").to_numpy()
+    leaves = prefix_leaves(counts, half, most)
+    tasks = max(1, min(len(leaves), 16 * int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = fps.mapInArrow(_deal(leaves, half), "leaf int, fp long").repartition(tasks, "leaf").sortWithinPartitions("leaf")
+    return dealt.mapInArrow(_meet(leaves, half, most), "a long, b long").distinct()
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, most: int = VARIANTS) -> DataFrame:
     """One row a row of ``docs``: id_col, fingerprint (16 hex digits), component_id, group_size (rows of the component).
 
     Null and wordless texts have fingerprint zero and are linked like others. component_id is the smallest id reachable.
@@ -170,16 +190,17 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keeps its rows. Other columns are ignored, whatever their names. Empty in, empty out."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    rows = scratch.write(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, "id long, fp long"))
+    rows = scratch.write(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints(shingle), "id long, fp long"))
     named = rows.filter("id is not null")
     kinds = scratch.write(named.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")))
-    links = connected_components(near_pairs(kinds, scratch, radius, blocks, crowd), scratch)
+    links = connected_components(near_pairs(kinds, radius, most), scratch)
     links = scratch.write(links.join(kinds, links["node"] == kinds["fp"]).select("fp", "root", "low", "n"))
     by_root = links.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("group_size"), F.count("*").alias("kinds"))
     by_root = scratch.write(by_root)
     linked = lookup(links.select("fp", "root", "n"), by_root, "root", "kinds", links.count()).select("fp", "component_id", "group_size", "n")
     alone = kinds.join(links.select("fp"), "fp", "left_anti").select("fp", F.col("low").alias("component_id"), F.col("n").alias("group_size"), "n")
     groups = scratch.write(linked.unionByName(alone))
+    scratch.drop(kinds, links, by_root)
     out = lookup(named, groups, "fp", "n", named.count()).select("id", "fp", "component_id", "group_size")
     nobody = rows.filter("id is null").select("id", "fp", F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("long").alias("group_size"))
     return out.union(nobody).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")

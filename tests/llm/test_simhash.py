@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from octetflow.llm.common import Scratch
 from octetflow.llm.components import connected_components
-from octetflow.llm.simhash import fingerprint, near_pairs, simhash_groups
+from octetflow.llm.simhash import VARIANTS, ball, fingerprint, near_pairs, prefix_leaves, simhash_groups
 
 SCHEMA = "doc_id long, text string, fp string, component_id string"
 
@@ -56,18 +56,18 @@ def test_fingerprint_matches_definition():
         assert fingerprint(t) == slow_fingerprint(t)
 
 
-@pytest.mark.parametrize(("blocks", "crowd"), [(3, 32), (3, 1), (1, 32)])
-def test_groups_match_brute_force(spark, blocks, crowd):
+@pytest.mark.parametrize("most", [VARIANTS, 20_000])
+def test_groups_match_brute_force(spark, most):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], SCHEMA)
-    got = {r.doc_id: r for r in simhash_groups(df, blocks=blocks, crowd=crowd).collect()}
+    got = {r.doc_id: r for r in simhash_groups(df, most=most).collect()}
     assert len(got) == len(rows)
     assert {i: r.component_id for i, r in got.items()} == brute(rows)
     assert all(got[i].fingerprint == f"{slow_fingerprint(t):016x}" for i, t in rows)
 
 
-@pytest.mark.parametrize(("blocks", "crowd"), [(3, 32), (3, 2), (1, 32)])
-def test_no_link_is_lost_among_close_fingerprints(spark, blocks, crowd):
+@pytest.mark.parametrize("most", [VARIANTS, 5_000])
+def test_no_link_is_lost_among_close_fingerprints(spark, most):
     rng = np.random.default_rng(3)
     fps = set()
     for _ in range(12):
@@ -80,7 +80,7 @@ def test_no_link_is_lost_among_close_fingerprints(spark, blocks, crowd):
     fps = [x - 2**64 if x >= 2**63 else x for x in fps]
     pairs = [(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4]
     scratch = Scratch(spark, "t")
-    out = near_pairs(spark.createDataFrame([(x,) for x in fps], "fp long"), scratch, blocks=blocks, crowd=crowd)
+    out = near_pairs(spark.createDataFrame([(x,) for x in fps], "fp long"), most=most)
     got = {r.node: r.root for r in connected_components(out, scratch).collect()}
     want = roots(fps, pairs)
     assert {x: got.get(x, x) for x in fps} == want
@@ -102,10 +102,16 @@ def test_empty_nulls_and_repeats(spark):
     assert simhash_groups(df).select(F.sum(F.col("group_size"))).first()[0] == 9
 
 
-@pytest.mark.parametrize(("blocks", "radius"), [(1, 3), (3, 5), (2, 2)])
-def test_parameters_that_lose_links_are_refused(blocks, radius):
-    from octetflow.llm.simhash import masks
+def test_odd_radii_are_refused(spark):
+    with pytest.raises(ValueError, match="even"):
+        near_pairs(spark.createDataFrame([(1,)], "fp long"), radius=3)
 
-    with pytest.raises(ValueError, match="do not hold"):
-        masks(blocks, radius)
-    assert [len(flips) for _, flips in masks(3, 4)] == [44, 44, 43]
+
+def test_prefixes_cut_the_space_of_variants_once():
+    counts = np.bincount(np.r_[np.full(500, 77), np.arange(200) * 300], minlength=1 << 16)
+    leaves = prefix_leaves(counts, 2, 100_000)
+    spans = sorted((v << (16 - n), (v + 1) << (16 - n)) for n, v in leaves)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+    reach = {p ^ f for p in np.flatnonzero(counts).tolist() for f in ball(16, 2).tolist()}
+    assert all(any(lo <= v < hi for lo, hi in spans) for v in reach)
+    assert max(n for n, _ in leaves) > min(n for n, _ in leaves)  # the crowded corner is cut finer
