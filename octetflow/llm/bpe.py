@@ -6,6 +6,7 @@ import base64
 import hashlib
 import sys
 from array import array
+from functools import cached_property
 
 import ahocorasick
 import numpy as np
@@ -137,27 +138,28 @@ class BytePairEncoder:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-def _encoder(source, pattern: str) -> BytePairEncoder:
-    """One encoder a worker: ``sys`` outlives the task, this package's modules need not."""
-    kept = sys.__dict__.setdefault("_octetflow_bpe", {})
-    data = source.value
-    key = hashlib.sha256(data + pattern.encode()).digest()
-    if key not in kept:
-        kept[key] = BytePairEncoder(parse_ranks(data), pattern)
-    return kept[key]
+class _Source:
+    """What a worker makes its encoder from, once: it keeps the broadcast's value, and this with it."""
 
+    def __init__(self, data: bytes, pattern: str):
+        self.data, self.pattern = data, pattern
 
-def _source(spark: SparkSession, path: str | None):
+    @cached_property
+    def encoder(self) -> BytePairEncoder:
+        return BytePairEncoder(parse_ranks(self.data), self.pattern)
+
+
+def _source(spark: SparkSession, path: str | None, pattern: str):
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:  # the vocabulary is on the driver; its size is fixed
-        return spark.sparkContext.broadcast(f.read())
+        return spark.sparkContext.broadcast(_Source(f.read(), pattern))
 
 
 def bpe_encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """``docs`` with one more column, array<int>: the ids of the whole text, without special tokens. Null and empty texts have none. An ids_col of ``docs`` is replaced."""
-    source = _source(docs.sparkSession, path)
+    source = _source(docs.sparkSession, path, pattern)
 
     def ids(series):
-        enc = _encoder(source, pattern)
+        enc = source.value.encoder
         return pa.array([enc.encode(t) for t in series.to_pylist()], pa.list_(pa.int32()))
 
     return docs.withColumn(ids_col, F.arrow_udf(ids, "array<int>")(F.col(text_col).cast("string")))
@@ -165,10 +167,10 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", pa
 
 def bpe_decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """``df`` with the bytes that the ids stand for (binary: ids cut at any place need not be UTF-8). Null ids: no bytes. Unknown ids fail."""
-    source = _source(df.sparkSession, path)
+    source = _source(df.sparkSession, path, pattern)
 
     def text(series):
-        enc = _encoder(source, pattern)
+        enc = source.value.encoder
         return pa.array([enc.decode(x or []) for x in series.to_pylist()], pa.binary())
 
     return df.withColumn(text_col, F.arrow_udf(text, "binary")(F.col(ids_col)))
@@ -178,10 +180,10 @@ def bpe_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Encodes and decodes every whole text in one pass and keeps, a row: id_col, n_tokens, ids_sha256 (ids as little-endian unsigned
     32-bit integers), decoded_sha256, and with ``with_ids`` the ids (array<int>). Rows with null ids, null or empty texts (0 tokens, digests of no bytes) and
     repeated rows stay; other columns are ignored. No shuffle."""
-    source = _source(docs.sparkSession, path)
+    source = _source(docs.sparkSession, path, pattern)
 
     def run(batches):
-        enc, sha = _encoder(source, pattern), hashlib.sha256
+        enc, sha = source.value.encoder, hashlib.sha256
         little = sys.byteorder == "little"
         for batch in batches:
             n, a, b, kept = [], [], [], []
