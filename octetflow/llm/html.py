@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import random
 import re
-import sys
 from collections import deque
+from functools import cache
 from html import unescape
 
 import numpy as np
@@ -18,153 +18,247 @@ from octetflow.llm.quality import fit_logistic
 
 #: Capacity of the edge between neighbours under one parent; halved for each step between their places in the tree. Between siblings that do not touch.
 SMOOTH, SIBLING = 2.5, 0.5
-PAGES, SEED = 400, 5
+PAGES, SEED = 800, 5
+#: How far up an end tag without a start tag looks for one, in open elements.
+NESTED = 200
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>", re.S)
-_ATTRS = re.compile(r"\b(class|id|role|itemprop|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|)|[\"'])*+)>")
+_LOOSE = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_ATTRS = re.compile(r"\b(class|id|role|itemprop|style|aria-hidden|hidden)\b(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
-_RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes"}
-_UNSEEN = {"noscript", "template", "svg", "math", "select", "datalist", "button", "object", "canvas", "audio", "video", "head", "map"}
+#: Not shown as text of the page, with all they hold.
+_UNSEEN = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "template", "svg", "select", "datalist", "button", "canvas", "audio", "video", "head"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table caption thead tbody tfoot tr td th ul".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+_HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-GROUPS = ["nav", "header", "footer", "aside", "form", "ad", "comment", "notice", "share", "related", "article", "main", "content", "hidden", "list", "table"]
+GROUPS = ["nav", "header", "footer", "aside", "form", "article", "main", "list", "table", "notice", "hidden"]
+NAMED = ["nav", "header", "footer", "aside", "form", "ad", "comment", "notice", "share", "related", "content"]
 _BY_TAG = {"nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form", "article": "article", "main": "main", "ul": "list", "ol": "list", "dl": "list", "table": "table", "dialog": "notice"}
+#: What class and id names often say. One kind of evidence beside structure; the classifier is trained on pages whose names say nothing as well.
 _BY_WORD = {w: g for g, ws in {
     "nav": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs skip", "header": "header masthead topbar branding logo", "footer": "footer copyright colophon legal bottom imprint",
     "aside": "sidebar side rail widget widgets aside complementary column", "form": "form search login signin", "ad": "ad ads advert advertisement adsense sponsor sponsored promo promotion banner adbox",
-    "comment": "comment comments commentlist respond reply replies disqus discussion thread", "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup paywall banner dialog toast",
+    "comment": "comment comments commentlist respond reply replies disqus discussion thread", "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup paywall dialog toast",
     "share": "share sharing social follow like tweet", "related": "related recommended recommendations popular trending more readmore also teaser teasers links tags tag", "content": "content post entry story text body articlebody prose main article",
-    "hidden": "hidden visuallyhidden",
 }.items() for w in ws.split()}
-_BIT = {g: 1 << k for k, g in enumerate(GROUPS)}
+_BIT = {("tag", g): 1 << k for k, g in enumerate(GROUPS)} | {("name", g): 1 << (len(GROUPS) + k) for k, g in enumerate(NAMED)}
+_KINDS = ["p", "li", "cell", "heading", "quote", "box"]
+_KIND_OF = {"p": 0, "li": 1, "dd": 1, "dt": 1, "td": 2, "th": 2, "caption": 2, "blockquote": 4, "pre": 4, "figcaption": 4} | dict.fromkeys(_HEADS, 3)
 
 
 class Block:
-    __slots__ = ("bits", "heading", "link", "parent", "path", "text")
+    __slots__ = ("above", "bits", "depth", "kind", "link", "low", "parent", "path", "text")
+
+    def __init__(self, text, link, element, depth, low):
+        self.text, self.link, self.depth, self.low = text, link, depth, low
+        self.bits, self.parent, self.above, self.path, self.kind = element.bits, element.parent, element.above, element.path, element.kind
+
+
+class _Element:
+    """An open block-level element: what its ancestors and it say, its parent's number and that one's parent's, and a hash of its tags from the root."""
+
+    __slots__ = ("above", "bits", "kind", "number", "parent", "path", "tag")
 
-    def __init__(self, text, link, bits, heading, path):
-        self.text, self.link, self.bits, self.heading, self.path = text, link, bits, heading, path
-        self.parent = path[-2] if len(path) > 1 else -1
+    def __init__(self, tag, bits, number, parent):
+        self.tag, self.bits, self.number = tag, bits, number
+        self.parent, self.above, self.path = (parent.number, parent.parent, hash((parent.path, tag))) if parent else (-1, -1, 0)
+        self.kind = _KIND_OF.get(tag, 5)
 
 
 def _bits(tag: str, attrs: str, inside: int) -> int:
     bits = 0
     if g := _BY_TAG.get(tag):
-        if not (g == "header" and inside & _BIT["article"]):  # an article's own header is part of it
-            bits |= _BIT[g]
+        if not (g == "header" and inside & _BIT["tag", "article"]):  # an article's own header is part of it
+            bits |= _BIT["tag", g]
     if attrs and tag not in ("body", "html"):
         for m in _ATTRS.finditer(attrs):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                bits |= _BIT["hidden"]
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", value):
+                bits |= _BIT["tag", "hidden"]
             elif name != "style":
                 for w in _WORDS.findall(value):
                     if g := _BY_WORD.get(w):
-                        bits |= _BIT[g]
+                        bits |= _BIT["name", g]
     return bits
 
 
+class _Scan:
+    """Searches that remember when nothing is left, so that each kind of search costs one pass over the page in all."""
+
+    def __init__(self, html: str):
+        self.html, self.gone, self.loose = html, set(), False
+
+    def find(self, what: str, pos: int) -> int:
+        if what in self.gone:
+            return -1
+        at = self.html.find(what, pos)
+        if at < 0:
+            self.gone.add(what)
+        return at
+
+    def tag(self, pos: int):
+        """The tag whose name starts at ``pos``. Quotes count after = only; where a tag would never end, it and all later ones end at the first >."""
+        if self.find(">", pos) < 0:
+            return None
+        m = None if self.loose else _TAG.match(self.html, pos)
+        if m is None:
+            m = _LOOSE.match(self.html, pos)
+            self.loose = self.loose or m is not None
+        return m
+
+    def end_of(self, tag: str, pos: int) -> int:
+        """Where the end tag of an element opened before ``pos`` starts; -1 if there is none before the next one of that name."""
+        if tag in self.gone:
+            return -1
+        m = _same_tag(tag).search(self.html, pos)
+        if m is None:
+            self.gone.add(tag)
+        return m.start() if m and m[1] else -1
+
+
+@cache
+def _same_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"<(/?){tag}(?![a-zA-Z0-9:_-])", re.I)
+
+
 def blocks(html: str | None) -> list[Block]:
-    """Texts between block-level tags in page order, character references decoded, white space collapsed; scripts, styles, comments, markup and what browsers do not show as text are left out."""
+    """Texts between block-level tags in page order, character references decoded, white space collapsed; scripts, styles, comments, markup and what browsers do not show as text are left out.
+
+    What is opened and never closed loses nothing that follows: a tag without > is text, a comment without end closes at its first >, an unseen element without its
+    end tag hides the text up to the next tag only. Time is linear in the page, however it is broken."""
     html = html or ""
-    out: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, groups with those of the ancestors, number of the element
+    scan, out = _Scan(html), []
+    stack = [_Element("", 0, 0, None)]
     parts: list[str] = []
-    count = linked = pos = unseen = anchors = 0
-    heading = False
+    count = linked = pos = anchors = 0
+    low = 1
+    hide = False
 
     def flush():
-        nonlocal linked
+        nonlocal linked, low
         if parts:
             if text := " ".join("".join(parts).split()):
-                out.append(Block(text, min(1.0, linked / len(text)), stack[-1][1], heading or stack[-1][0] in _HEADS, tuple(e[2] for e in stack)))
+                out.append(Block(text, min(1.0, linked / len(text)), stack[-1], len(stack), low))
+                low = len(stack)
             parts.clear()
         linked = 0
 
+    def say(text):
+        nonlocal linked
+        text = unescape(text)
+        parts.append(text)
+        if anchors:
+            linked += len(" ".join(text.split()))
+
     n = len(html)
     while pos < n:
-        m = _TOKEN.search(html, pos)
-        lt = html.find("<", pos) if m is None else -1
-        if m is None and lt >= 0:
-            m = _LOOSE.search(html, lt)  # a quote that never ends
-        end = m.start() if m else n
-        if end > pos and not unseen:
-            text = unescape(html[pos:end])
-            parts.append(text)
-            if anchors:
-                linked += len(" ".join(text.split()))
-        if m is None:
+        lt = scan.find("<", pos)
+        if lt != pos and not hide:
+            say(html[pos : lt if lt >= 0 else n])
+        if lt < 0:
             break
-        pos = m.end()
-        if not (tag := m[2]):
+        after = html[lt + 1 : lt + 2]
+        if after in ("!", "?") or after == "/" and not html[lt + 2 : lt + 3].isalpha():
+            end = scan.find("-->", lt + 2) + 2 if html.startswith("<!--", lt) and "-->" not in scan.gone else -1
+            end = end if end > 1 else scan.find(">", lt)
+            if end < 0:
+                say(html[lt:])
+                break
+            pos = end + 1
+            continue
+        m = scan.tag(lt + 1)
+        if m is None:
+            if not hide:
+                say("<")
+            pos = lt + 1
             continue
-        tag = tag.lower()
+        pos, hide = m.end(), False
+        tag = m[2].lower()
         if m[1]:  # closing
-            if tag in _UNSEEN:
-                unseen = max(0, unseen - 1)
-            elif tag == "a":
+            if tag == "a":
                 anchors = max(0, anchors - 1)
             elif tag in _BLOCK:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
+                for k in range(len(stack) - 1, max(0, len(stack) - 1 - NESTED), -1):
+                    if stack[k].tag == tag:
                         del stack[k:]
+                        low = min(low, len(stack))
                         break
             continue
-        if tag in _RAW:
-            at = re.compile(f"</{tag}", re.I).search(html, pos)
-            pos = at.start() if at else n
+        if tag in _UNSEEN:
+            if (end := scan.end_of(tag, pos)) >= 0:
+                pos = html.find(">", end) + 1 or n
+            else:
+                hide = True
             continue
-        attrs = m[3]
         if tag in _VOID:
             if tag == "hr":
                 flush()
-            elif tag == "br" and not unseen:
+            elif tag == "br":
                 parts.append(" ")
             continue
-        if attrs.endswith("/") and tag not in _BLOCK:
-            continue
-        if tag in _UNSEEN:
-            unseen += 1
-            continue
-        if tag == "body":
-            unseen = 0  # a head that was not closed
         if tag == "a":
-            anchors = 1
-        elif tag in _BLOCK and not unseen:
+            anchors = 0 if m[3].endswith("/") else 1
+        elif tag in _BLOCK:
             flush()
             anchors = 0
-            if len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] in _CLOSES.get(tag, ())):
+            if len(stack) > 1 and (stack[-1].tag == "p" or stack[-1].tag in _CLOSES.get(tag, ())):
                 stack.pop()
-            if tag == "tr" and stack[-1][0] == "tr":
+            if tag == "tr" and stack[-1].tag == "tr":
                 stack.pop()
+            low = min(low, len(stack))
             count += 1
-            inside = stack[-1][1]
-            stack.append((tag, inside | _bits(tag, attrs, inside), count))
+            stack.append(_Element(tag, stack[-1].bits | _bits(tag, m[3], stack[-1].bits), count, stack[-1]))
     flush()
     return out
 
 
-_HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-_MARKS = re.compile(r"[.!?:;,]")
-FEATURES = [*GROUPS, "words", "short", "link", "links", "marks", "ends", "heading", "years", "first", "plain"]
-
-
-def block_features(all_blocks: list[Block]) -> np.ndarray:
-    out = np.zeros((len(all_blocks), len(FEATURES)))
-    article = _BIT["article"] | _BIT["main"] | _BIT["content"]
-    for k, b in enumerate(all_blocks):
-        n = b.text.count(" ") + 1
-        bits = b.bits
-        out[k, : len(GROUPS)] = [bits >> g & 1 for g in range(len(GROUPS))]
-        out[k, len(GROUPS) :] = (
-            min(2.0, np.log1p(n) / 2.5), n < 5, b.link, b.link > 0.6, min(1.0, len(_MARKS.findall(b.text)) / n * 3), b.text[-1] in ".!?\"”»…",
-            b.heading, "©" in b.text, 1.0 / (1 + k), not bits & article and n > 8 and b.link < 0.3,
-        )
-    return out
+_MARKS = re.compile(r"[.!?:;,،。、！？]")
+FEATURES = [*(f"tag {g}" for g in GROUPS), *(f"name {g}" for g in NAMED), *_KINDS, "words", "short", "link", "links", "marks", "ends", "rights", "first", "last", "through", "bare",
+            "box words", "box share", "box link", "box alone", "outer share", "outer link", "prose share", "path words", "path many", "path link", "before words", "before link", "after words", "after link", "long near", "again"]
+
+
+def _by_group(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+    """Sums of each of the values over the members of a row's group, and the number of members."""
+    kinds, at = np.unique(key, return_inverse=True)
+    return [np.bincount(at, v, len(kinds))[at] for v in (*values, np.ones(len(key)))]
+
+
+def block_features(found: list[Block]) -> np.ndarray:
+    """Evidence of each block: tags and names around it, its kind, its words, links and marks, and how it stands in its page: the share of the page's words in its box and the
+    box around that, what other blocks on the same path of tags are like, its neighbours, its place."""
+    n, all_bits = len(found), len(GROUPS) + len(NAMED)
+    words = np.array([b.text.count(" ") + max(1, sum("⺀" < c < "ﬀ" for c in b.text) // 2) for b in found], float)  # scripts without spaces: two signs a word
+    link = np.array([b.link for b in found])
+    bits = np.array([b.bits for b in found])
+    marks = np.array([len(_MARKS.findall(b.text)) for b in found]) / words
+    ends = np.array([b.text[-1] in ".!?\"”»…。！？" for b in found], float)
+    k = np.arange(n)
+    box_words, box_linked, box_n = _by_group(np.array([b.parent for b in found]), words, words * link)
+    outer_words, outer_linked, _ = _by_group(np.array([b.above for b in found]), words, words * link)
+    path_words, path_linked, path_n = _by_group(np.array([b.path for b in found]), words, words * link)
+    prose = np.where((words > 8) & (link < 0.3) & (ends + marks > 0.05), words, 0.0)
+    box_prose, _ = _by_group(np.array([b.parent for b in found]), prose)
+    again = _by_group(np.array([hash(b.text) for b in found]))[0]
+    every, all_prose = max(1.0, words.sum()), max(1.0, prose.sum())
+    size = lambda x: np.minimum(2.0, np.log1p(x) / 2.5)
+    shift = lambda x, d: np.r_[np.zeros(1), x[:-1]] if d > 0 else np.r_[x[1:], np.zeros(1)]
+    long_ = np.flatnonzero(prose > 25)
+    if len(long_):
+        at = np.searchsorted(long_, k)
+        away = np.minimum(np.abs(k - long_[np.maximum(at - 1, 0)]), np.abs(k - long_[np.minimum(at, len(long_) - 1)]))
+    else:
+        away = np.full(n, n)
+    kind = np.array([b.kind for b in found])
+    sides = sum(_BIT["tag", g] for g in ("nav", "header", "footer", "aside", "form", "notice", "hidden"))
+    columns = [
+        size(words), words < 5, link, link > 0.6, np.minimum(1.0, marks * 3), ends, [("©" in b.text) or ("®" in b.text) for b in found], 1.0 / (1 + k), 1.0 / (n - k), k / n, (bits & sides) == 0,
+        size(box_words), box_words / every, box_linked / box_words, box_n == 1, outer_words / every, outer_linked / outer_words, box_prose / all_prose, size(path_words / path_n), np.log1p(path_n) / 4, path_linked / path_words,
+        size(shift(words, 1)), shift(link, 1), size(shift(words, -1)), shift(link, -1), 1.0 / (1 + away), again > 1,
+    ]
+    return np.column_stack([*(bits >> g & 1 for g in range(all_bits)), *(kind == g for g in range(len(_KINDS))), *columns]).astype(float)
 
 
 def minimum_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -245,13 +339,7 @@ def neighbours(all_blocks: list[Block]) -> list[tuple[int, int, float]]:
     out, last = [], {}
     for k, b in enumerate(all_blocks):
         if k:
-            p, q = all_blocks[k - 1].path, b.path
-            same = 0
-            for x, y in zip(p, q, strict=False):
-                if x != y:
-                    break
-                same += 1
-            out.append((k - 1, k, SMOOTH * 0.5 ** max(0, len(p) + len(q) - 2 * same - 2)))
+            out.append((k - 1, k, SMOOTH * 0.5 ** max(0, all_blocks[k - 1].depth + b.depth - 2 * b.low - 2)))
         j = last.get(b.parent)
         if j is not None and j != k - 1:
             out.append((j, k, SIBLING))
@@ -281,13 +369,18 @@ def _made_page(r: random.Random) -> tuple[str, set[str]]:
         gold.add(text)
         return text
 
+    #: What names say on this page: what they are in English, nothing, or something in another language.
+    naming = r.choice(["plain", "plain", "coded", "foreign", "none"])
+    tags = r.random() < (0.75 if naming == "plain" else 0.5)
+
     def named(kind, tag):
         """A container that says what it is by its tag, its class, both, or not at all."""
         words = {"nav": ["nav", "menu", "main-menu", "breadcrumbs"], "header": ["header", "masthead", "site-header"], "footer": ["footer", "site-footer", "copyright"], "aside": ["sidebar", "widget", "right-rail"], "ad": ["ad", "ads", "advert", "sponsored", "promo"],
                  "comment": ["comments", "comment-list", "respond"], "notice": ["cookie-notice", "consent", "newsletter", "alert", "paywall"], "form": ["search-form", "login"], "share": ["share", "social-links"], "related": ["related", "popular", "more-stories"], "article": ["post", "entry-content", "article-body", "story"]}[kind]
         how = r.random()
-        use = tag if how < 0.6 and tag else "div"
-        cls = f' {r.choice(["class", "id"])}="{r.choice(words)}"' if use == "div" and how < 0.95 or r.random() < 0.4 else ""
+        use = tag if how < 0.6 and tag and tags else "div"
+        name = {"plain": r.choice(words), "coded": f"c{r.randint(0, 99)}x", "foreign": r.choice(["bereich", "kasten", "bloque", "boite", "zeile"]), "none": ""}[naming]
+        cls = f' {r.choice(["class", "id"])}="{name}"' if name and (use == "div" and how < 0.95 or r.random() < 0.4) else ""
         return f"<{use}{cls}>", f"</{use}>"
 
     links = lambda n: "<ul>" + "".join(f'<li><a href="/{word()}">{line(1, 3)}</a></li>' for _ in range(n)) + "</ul>"
@@ -306,7 +399,8 @@ def _made_page(r: random.Random) -> tuple[str, set[str]]:
         "footer": lambda: box("footer", "footer", f"<p>{r.choice(['&copy;', '&copy; 2020', ''])} {line(1, 3)} &middot; {sentence(3, 9)}</p>"),
     }
     body = "".join(boil[k]() for k in r.sample(["nav", "header", "ad", "notice", "form", "aside", "hidden"], r.randint(1, 5)))
-    inner = f"<h1>{keep(line(3, 9))}</h1>"
+    bare = r.random() < 0.08  # nothing but the article
+    inner = f"<h1>{keep(line(3, 9))}</h1>" if not bare or r.random() < 0.5 else ""
     for _ in range(r.randint(1, 9)):
         k = r.random()
         text = keep(" ".join(sentence() for _ in range(r.choice([1, 1, 2, 4, 7]))) if r.random() < 0.9 else line(1, 3) + r.choice([".", "", "", " |"]))
@@ -322,11 +416,13 @@ def _made_page(r: random.Random) -> tuple[str, set[str]]:
             inner += f"<ul><li>{text}</li></ul>"
         else:
             inner += f"<table><tr><td>{text}</td></tr></table>"
-        if r.random() < 0.15:
+        if r.random() < 0.15 and not bare:
             inner += boil[r.choice(["ad", "ad", "form", "aside", "notice", "related", "comment", "share", "hidden"])]()
     a, b = named("article", "article")
     body += r.choice(["", "<main>", '<div class="page">']) + a + inner + b
     body += "".join(boil[k]() for k in r.sample(["comment", "related", "share", "aside", "footer", "ad", "nav"], r.randint(1, 5)))
+    if bare:
+        body = inner if r.random() < 0.5 else a + inner + b
     return f"<!DOCTYPE html><html><head><title>{line()}</title><style>p{{}}</style></head><body>{body}</body></html>", gold
 
 
@@ -341,13 +437,9 @@ def train(pages: int = PAGES, seed: int = SEED) -> tuple[np.ndarray, float]:
     return fit_logistic(np.concatenate(x), np.array(y, float), ridge=3.0)
 
 
-_KEPT = sys.__dict__.setdefault("_octetflow_html", {})
-
-
+@cache
 def model_of(pages: int = PAGES, seed: int = SEED) -> tuple[np.ndarray, float]:
-    if (pages, seed) not in _KEPT:
-        _KEPT[pages, seed] = train(pages, seed)
-    return _KEPT[pages, seed]
+    return train(pages, seed)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", model: tuple[np.ndarray, float] | None = None) -> DataFrame:
