@@ -9,45 +9,49 @@ from pyspark.sql import functions as F
 
 from octetflow.llm.common import Scratch, lookup, table, unit_hash
 
-FEATURES = ["upper", "symbols", "digits", "marked", "loud", "piped", "repeats", "top", "variety", "word_len", "long_words", "stops", "sentences", "line_copies", "short", "size"]
-#: Labelled documents to which the document classifier is fitted, at most (in expectation); the choice is by a hash of the id.
+FEATURES = ["upper", "symbols", "digits", "stutter", "bare", "tails", "repeats", "top", "variety", "word_len", "long_words", "short_words", "sentences", "line_copies", "short", "size"]
+#: Labelled documents to which the document classifier is fitted, at most: the first by a hash of the id.
 FIT_ROWS = 20_000
 THRESHOLD = 0.5
 _UPPER, _DIGIT = bytes(range(65, 91)), bytes(range(48, 58))
-_SYMBOL = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in ".,;:'\"?-()")
+_PROSE = b".,;:'\"?!-()"
+_MARK = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+_SYMBOL = bytes(b for b in _MARK if b not in _PROSE)
+_IS_MARK = np.isin(np.arange(256), list(_MARK))
 _END = (b".", b"!", b"?")
+#: Words' worth of an ordinary text that is added to what is counted of a short one, so that figures of few words say little.
+_USUAL = 20
 
 
 def features(text: str | None) -> list[float]:
-    """Shares and means over the whole text (UTF-8 bytes), each about 0 to 1; all 0 but ``short`` for null and empty texts."""
+    """Shares and means over the whole text (UTF-8 bytes), each about 0 to 1: upper case, symbols, digits, marks that repeat the mark before them (stutter), words of marks alone (bare) and words that end in a symbol or in
+    doubled marks (tails), repeated words, the commonest word, different words, lengths, sentence ends, copied lines. All are smooth in the text's length; null and empty texts have 0 but for ``variety`` and ``short``."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     n, size = len(words), max(1, len(raw))
     if not n:
-        return [0.0] * (len(FEATURES) - 2) + [1.0, 0.0]
+        return [0.0] * 8 + [1.0] + [0.0] * 5 + [1.0, 0.0]
     counts: dict[bytes, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
     lines = [x for x in raw.split(b"\n") if x.strip()]
     share = lambda drop: (len(raw) - len(raw.translate(None, drop))) / size
-    kinds = list(counts.items())
-    marked = sum(c for w, c in kinds if len(w) > 3 and w[-2:] in _MARKS)
-    loud = sum(c for w, c in kinds if w[-2:] in (b"!!", b"??"))
+    kinds, a = list(counts.items()), np.frombuffer(raw, np.uint8)
+    stutter = int(np.count_nonzero((a[1:] == a[:-1]) & _IS_MARK[a[1:]]))
+    bare = sum(c for w, c in kinds if not w.strip(_MARK))
+    tails = sum(c for w, c in kinds if w[-1] in _SYMBOL or (len(w) > 2 and w[-1] == w[-2] and w[-1] in _MARK))
     return [
-        share(_UPPER), share(_SYMBOL), share(_DIGIT), marked / n, loud / n, counts.get(b"|", 0) / n,
-        sum(map(bytes.__eq__, words, words[1:])) / n, max(counts.values()) / n if n > 20 else 0.0, len(counts) / n ** 0.75 if n > 20 else 1.0,
+        share(_UPPER), share(_SYMBOL), share(_DIGIT), stutter / size * 10, bare / n, tails / n,
+        sum(map(bytes.__eq__, words, words[1:])) / n, (max(counts.values()) - 1) / (n + _USUAL), (len(counts) + _USUAL) / (n ** 0.75 + _USUAL),
         min(2.0, (size / n - 1) / 10), sum(c for w, c in kinds if len(w) > 20) / n, sum(c for w, c in kinds if len(w) < 4) / n,
         sum(c for w, c in kinds if w.endswith(_END)) / n, 1 - len(set(lines)) / max(1, len(lines)), 1.0 / (1 + n / 10), min(1.0, np.log1p(n) / 12),
     ]
 
 
-_MARKS = {bytes([b, b]) for b in b"*$%&#~=_^+<>"}
-
-
 def _featured(batches):
     for batch in batches:
-        x = [features(t.as_py()) for t in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["id", "path", "x"])
+        x = [features(t.as_py()) for t in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(x, pa.list_(pa.float64()))], ["id", "host", "path", "x"])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[np.ndarray, float]:
@@ -81,11 +85,17 @@ def strength(groups: DataFrame, parent: str) -> float:
     return float(min(1000.0, max(1.0, within / between - 1))) if between > 0 else 1000.0
 
 
+def _named(value: Column) -> Column:
+    """A key that no other value shares, null included: the length stands before the value."""
+    value = value.cast("string")
+    return F.coalesce(F.concat(F.char_length(value).cast("string"), F.lit(":"), value), F.lit("-"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang",
              label_col: str = "quality", fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """One row a row of ``docs``: id_col, p_doc, host_posterior, path_posterior, quality, kept.
 
-    A logistic classifier over whole-text features, fitted to a bounded sample of the labelled documents, gives each document's evidence
+    A logistic classifier over whole-text features, fitted to at most ``fit_rows`` labelled ids, gives each document's evidence
     p_doc. Sites are the hosts (host_col) and, below them, the paths (host_col/path_col). A host's posterior is the mean evidence of its documents
     shrunk to the global mean, a path's that of its documents shrunk to its host's; how strongly is estimated from all groups,
     so that sparse sites lean on their parents. The document's own evidence is taken out of its path's before
@@ -93,14 +103,15 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     aggregation; only fixed-size figures reach the driver.
 
     Null host or path: a site of its own. Null and empty texts have features of their own (``short``). Rows with a null id, and repeated rows, are
-    classified like others. Without labels of both kinds nothing can be told: p_doc is 0.5 and all are kept. Null labels are ignored; repeated ones count each."""
+    classified like others. Without labels of both kinds nothing can be told: p_doc is 0.5 and all are kept. Null labels are ignored; of repeated ones the mean counts, and of
+    texts repeated under a labelled id one."""
     scratch = Scratch(docs.sparkSession, "quality")
-    path = F.concat_ws("\x01", F.coalesce(F.col(host_col).cast("string"), F.lit("\x02")), F.coalesce(F.col(path_col).cast("string"), F.lit("\x02")))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), path.alias("path"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.write(rows.mapInArrow(_featured, "id long, path string, x array<double>"))
+    host, sub = _named(F.col(host_col)), _named(F.col(path_col))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), F.concat(host, sub).alias("path"), F.col(text_col).cast("string").alias("text"))
+    rows = scratch.write(rows.mapInArrow(_featured, "id long, host string, path string, x array<double>"))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).filter("id is not null and y is not null")
-    part = min(1.0, fit_rows / max(1, known.count()))
-    sample = known.filter(unit_hash(F.col("id"), "fit") < part).join(rows.select("id", "x"), "id").select("x", "y").toArrow()
+    known = known.groupBy("id").agg(F.avg("y").alias("y")).orderBy(unit_hash(F.col("id"), "fit"), "id").limit(fit_rows)
+    sample = rows.select("id", "x").join(known, "id").groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y")).toArrow()
     x, y = np.array(sample.column("x").to_pylist(), float), np.array(sample.column("y").to_pylist(), float)
     if len(set(y > 0.5)) == 2:
         order = np.lexsort((*x.T, y))  # rows arrive in any order; sums should not depend on it
@@ -110,18 +121,19 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     score = F.lit(float(bias))
     for i, v in enumerate(w):
         score = score + F.col("x")[i] * F.lit(float(v))
-    scored = rows.select("id", "path", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), score))))).alias("p"))
+    scored = rows.select("id", "host", "path", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), score))))).alias("p"))
     scored = scratch.write(scored.withColumn("micro", F.round(F.col("p") * 1_000_000).cast("long")))  # whole numbers: sums are the same in any order
-    paths = scratch.write(scored.groupBy("path").agg((F.sum("micro") / 1e6).alias("s"), F.count("*").alias("n")).withColumn("host", F.substring_index("path", "\x01", 1)))
+    paths = scratch.write(scored.groupBy("path").agg(F.first("host").alias("host"), (F.sum("micro") / 1e6).alias("s"), F.count("*").alias("n")))
     total, n_all = paths.agg(F.sum("s"), F.sum("n")).first()
     prior = total / n_all if n_all else 0.5
     hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.count("*").alias("paths")).withColumn("prior", F.lit(prior))
-    hosts = scratch.write(hosts)
+    hosts = hosts_table = scratch.write(hosts)
     k_host = strength(hosts, "prior")
     hosts = hosts.withColumn("host_posterior", (F.col("s") + k_host * F.lit(prior)) / (F.col("n") + k_host)).select("host", "paths", "host_posterior")
     paths = scratch.write(lookup(paths, hosts, "host", "paths", paths.count()))
     k_path = strength(paths, "host_posterior")
-    out = lookup(scored, paths.select("path", "s", "n", "host_posterior"), "path", "n", n_all or 0)
+    scratch.drop(rows, hosts_table)
+    out = lookup(scored.drop("host"), paths.select("path", "s", "n", "host_posterior"), "path", "n", n_all or 0)
     out = out.withColumn("path_posterior", (F.col("s") + k_path * F.col("host_posterior")) / (F.col("n") + k_path))
     others = (F.greatest(F.lit(0.0), F.col("s") - F.col("p")) + k_path * F.col("host_posterior")) / (F.col("n") - 1 + k_path)
     odds = logit(F.col("p")) + logit(others) - logit(F.lit(prior))

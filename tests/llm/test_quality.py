@@ -1,4 +1,3 @@
-import duckdb
 import numpy as np
 import pytest
 
@@ -49,6 +48,60 @@ def test_edges(spark):
     assert len(none) == 5 and all(r.kept and r.p_doc == pytest.approx(0.5) for r in none)
 
 
-def test_labels_of_the_data_are_told_apart():
-    rows = duckdb.sql(f"select text, quality from '{DATA}/documents.parquet' join '{DATA}/labels.parquet' using (doc_id)").fetchall()
-    assert len(rows) > 300
+def test_whole_result_matches_brute_force(spark):
+    """p_doc, quality and kept of every document, from the texts and labels alone."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    got = classify(docs, labels).toPandas().set_index("doc_id").sort_index()
+    d = docs.toPandas().set_index("doc_id").sort_index()
+    x = np.array([features(t) for t in d.text])
+    y = labels.toPandas().groupby("doc_id").quality.mean()
+    fit = d.index.isin(y.index)
+    z, t = x[fit], (y.loc[d.index[fit]].to_numpy() > 0.5).astype(float)
+    mean, std = z.mean(0), z.std(0)
+    std[std < 1e-9] = 1.0
+    z, w, c = (z - mean) / std, np.zeros(x.shape[1]), 0.0
+    for _ in range(60):  # ridge of 1 on standardised features
+        p = 1 / (1 + np.exp(-(z @ w + c)))
+        a = np.column_stack([z, np.ones(len(z))])
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag([1.0] * len(w) + [1e-6]), a.T @ (t - p) - np.r_[w, 0.0])
+        w, c = w + step[:-1], c + step[-1]
+    d["p"] = 1 / (1 + np.exp(-np.clip((x - mean) / std @ w + c, -30, 30)))
+    assert np.allclose(got.p_doc, d.p, atol=1e-5)
+    d["m"] = (got.p_doc * 1e6).round() / 1e6
+    prior = d.m.mean()
+
+    def shrunk(key, up):
+        g = d.assign(up=up).groupby(key).agg(s=("m", "sum"), n=("m", "size"), up=("up", "first"))
+        m = g[g.n > 1]
+        gap = ((m.s / m.n - m.up) ** 2).mean() - (m.up * (1 - m.up) / m.n).mean()
+        k = min(1000.0, max(1.0, (m.up * (1 - m.up)).mean() / gap - 1)) if gap > 0 else 1000.0
+        back = lambda c: g[c].reindex(d.set_index(key).index).to_numpy()
+        return back("s"), back("n"), k
+
+    s, n, k = shrunk(["source"], prior)
+    host = (s + k * prior) / (n + k)
+    s, n, k = shrunk(["source", "lang"], host)
+    others = (np.maximum(0.0, s - got.p_doc) + k * host) / (n - 1 + k)
+    logit = lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6)))
+    quality = 1 / (1 + np.exp(-(logit(got.p_doc) + logit(others) - logit(prior))))
+    assert np.allclose(got.quality, quality, atol=1e-5)
+    assert (got.kept == (quality >= 0.5)).all()
+
+
+def test_fit_is_bounded_whatever_repeats_there_are(spark, monkeypatch):
+    from octetflow.llm import quality
+
+    seen = []
+    fit = quality.fit_logistic
+    monkeypatch.setattr(quality, "fit_logistic", lambda x, y, *a: seen.append(len(x)) or fit(x, y, *a))
+    rows = [(i % 3, f"word {i} here" if i % 3 else "### !! ###", "en", "s", "x", "x") for i in range(900)]
+    labels = spark.createDataFrame([(i, i % 3 > 0, 0) for i in [0, 1, 2] * 5], "doc_id long, quality boolean, toxic int")
+    assert classify(spark.createDataFrame(rows, SCHEMA), labels, fit_rows=2).count() == 900
+    assert classify(spark.createDataFrame(rows, SCHEMA), labels, fit_rows=10).count() == 900
+    assert all(n <= 3 for n in seen) and seen[-1] == 3
+
+
+def test_sites_are_not_mixed_up(spark):
+    rows = [(1, "a b", "c", "x\x01y", "", ""), (2, "a b", "y\x01c", "x", "", ""), (3, "a b", None, "x", "", ""), (4, "a b", "-", "x", "", "")]
+    out = classify(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert out.count() == 4
