@@ -16,6 +16,10 @@ from octetflow.llm.quality import fit_logistic
 ORDER = 4
 #: Documents of one language from which models and calibration are fitted, at most (in expectation); the choice is by a hash of the id, of whole texts.
 FIT_DOCS = 500
+#: Languages that are learned, at most: those of the most documents, ties by name. Others are never predicted, and their documents get the nearest learned one.
+LANGS = 256
+#: Sampled documents that a language needs before some of them calibrate instead of being counted.
+ENOUGH = 8
 #: Share of them that calibrates; characters that no model knows share what is left over an alphabet of this size.
 CALIBRATE, ALPHABET = 0.25, 65536
 THRESHOLD = 0.5
@@ -140,7 +144,7 @@ class Identifier:
         best = int(entropy.argmin())
         margin = float(np.partition(entropy, 1)[1] - entropy[best]) if len(entropy) > 1 else 1.0
         excess = max(0.0, float(entropy[best] - self.usual[best]) / self.spread[best])
-        return best, [min(3.0, margin), min(10.0, margin * np.sqrt(n) / 3), min(10.0, excess) if n > 20 else min(3.0, excess)]
+        return best, [min(3.0, margin), min(10.0, margin * np.sqrt(n) / 3), min(10.0, excess) * n / (n + 10)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         entropy, n = self.model.entropies(text)
@@ -166,16 +170,14 @@ def _count(order: int):
     return run
 
 
-def fit(examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, fit_docs: int = FIT_DOCS) -> Identifier:
-    """Fits to a hash sample of at most ``fit_docs`` documents a language: n-grams are counted on the executors and added
-    up; the sample bounds what reaches the driver."""
+def fit(examples: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, fit_docs: int = FIT_DOCS, langs: int = LANGS) -> Identifier:
+    """Fits to a hash sample of at most ``fit_docs`` documents (in expectation) of each of at most ``langs`` languages: n-grams are counted on the executors and added
+    up; the two bounds hold what reaches the driver. Nulls in id, text or language are no examples."""
     known = examples.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null and id is not null")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & (unit_hash(F.col("id"), "fit") < min(1.0, fit_docs / n)))
-    sample = known.filter(chosen)
-    side = unit_hash(F.col("id"), "calibrate") < CALIBRATE
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
+    shares = examples.sparkSession.createDataFrame([(r["lang"], min(1.0, fit_docs / r["n"]), CALIBRATE if min(r["n"], fit_docs) >= ENOUGH else 0.0) for r in sizes], "lang string, share double, aside double")
+    sample = known.join(F.broadcast(shares), "lang").filter(unit_hash(F.col("id"), "fit") < F.col("share"))
+    side = unit_hash(F.col("id"), "calibrate") < F.col("aside")
     grams = sample.filter(~side).select("lang", "text").mapInArrow(_count(order), "lang string, g string, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, Counter] = {}
     for lang, g, n in zip(*(grams.column(c).to_pylist() for c in ("lang", "g", "n")), strict=True):

@@ -84,3 +84,10 @@ def test_edges(spark):
     assert got == sorted([(1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en"), (None, "de"), (5, "en")], key=str)
     assert identify(odd.limit(0), model).count() == 0
     assert {r.lang_pred for r in identify(odd, fit(train.limit(0))).collect()} == {"und"}
+
+
+def test_languages_are_bounded_and_small_ones_learned(spark):
+    rows = [(i, text, lang, "c") for i, (text, lang) in enumerate([("the cat and the dog", "en")] * 12 + [("der Hund und die Katze", "de")] * 9 + [("il gatto e il cane", "it")])]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    assert fit(train).model.langs == ["de", "en", "it"]  # one document is enough to be learned
+    assert fit(train, langs=2).model.langs == ["de", "en"]
