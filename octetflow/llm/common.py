@@ -63,6 +63,12 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def key_of(*values: Column) -> Column:
+    """One string for several values that no other values share, nulls included: each value's length stands before it."""
+    texts = [v.cast("string") for v in values]
+    return F.concat(*(F.coalesce(F.concat(F.char_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in texts))
+
+
 def unit_hash(key: Column, salt: str) -> Column:
     """A number in [0, 1) fixed by the key: the first 8 hex digits of an MD5 over 2**32."""
     return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -2,35 +2,47 @@
 
 from __future__ import annotations
 
-import itertools
 import logging
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octetflow.llm.common import Scratch, lookup, table, unit_hash
+from octetflow.llm.common import Scratch, ascii_lower, key_of, lookup, table, unit_hash
 
 ALPHA = {"source": 0.7, "lang": 0.7, "topic": 0.8}
-KEEP, ROUNDS, FILLS, SALT = 0.9, 10, 8, "mix"
-#: Raking that is to settle goes on until no marginal is further than this share of all tokens from its target, for so many rounds at most.
-TOLERANCE, MOST = 1e-6, 1000
+KEEP, SALT = 0.9, "mix"
+#: Raking goes on until no marginal is further than this share of all tokens from its target, or stands still; that is looked at every ROUNDS rounds, MOST rounds at most.
+TOLERANCE, ROUNDS, MOST = 1e-6, 10, 1000
 #: Up to this many cells are raked in one task, which needs no exchange.
 ONE_TASK = 200_000
-NONE = "(none)"
-#: Topics by what a text holds, the first that applies; "prose" otherwise.
-TOPICS = [("table", "%|%|%|%"), ("markup", "%\\%\\%\\%%"), ("notice", "%!!%!!%"), ("record", "%=%"), ("contact", "%@%")]
-_KEY = "\x01"
+#: Words that stand for topics, the shortest and longest that can, and the share of the documents that one may be in: commoner words say nothing of a topic.
+TOPICS, SHORTEST, LONGEST, COMMON = 24, 4, 20, 20
+OTHER = "-"
+_SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def topic_of(text: Column) -> Column:
-    out = F.lit("prose")
-    for name, like in reversed(TOPICS):
-        out = F.when(F.coalesce(text.like(like), F.lit(False)), F.lit(name)).otherwise(out)
-    return out
+def words_of(text: Column) -> Column:
+    """Words of a text, A-Z lower-cased; none of a null."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _SPACE), "")
 
 
-def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+def topic_words(docs: DataFrame, text: Column, topics: int = TOPICS) -> list[str]:
+    """The ``topics`` words of ``SHORTEST`` to ``LONGEST`` characters that most documents have, among those that no more than one in ``COMMON`` has; the most frequent
+    first, ties by name. Counted over all documents by partial aggregation; only the chosen words reach the driver."""
+    each = F.array_distinct(F.filter(words_of(text), lambda w: F.char_length(w).between(SHORTEST, LONGEST)))
+    seen = docs.select(F.explode(each).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    most = docs.count() // COMMON
+    return [r["word"] for r in seen.filter((F.col("n") > 1) & (F.col("n") <= F.lit(most))).orderBy(F.desc("n"), "word").limit(topics).collect()]
+
+
+def topic_of(words: Column, topics: list[str]) -> Column:
+    """The topic word that is most often among the words, the rarer one of equals; ``OTHER`` where there is none."""
+    if not topics:
+        return F.lit(OTHER)
+    every = F.array(*(F.lit(t) for t in topics))
+    own = F.filter(words, lambda w: w.isin(topics))
+    scored = F.transform(F.array_distinct(own), lambda t: F.struct(F.size(F.filter(own, lambda w: w == t)).alias("n"), F.array_position(every, t).alias("rank"), t.alias("word")))
+    return F.coalesce(F.array_max(scored)["word"], F.lit(OTHER))
 
 
 def tempered(cells: DataFrame, column: str, alpha: float) -> DataFrame:
@@ -53,43 +65,44 @@ def _rounds(state: DataFrame, columns: list[str], every: float, small: bool, n:
     return spark.sql(f"SELECT * FROM {query}", state=state.coalesce(1) if small else state)
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, rounds: int = ROUNDS, tolerance: float | None = None, most: int = MOST) -> DataFrame:
-    """``cells``: one row a combination of the columns of ``targets``, with ``tokens`` (double). Adds ``ratio``, the product of one
+def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, tolerance: float = TOLERANCE, most: int = MOST, strict: bool = False) -> DataFrame:
+    """``cells``: one row a combination of the columns of ``targets`` (not null), with ``tokens`` (double). Adds ``ratio``, the product of one
     factor a column by which tokens are multiplied so that each column's marginal takes its target share of all tokens.
 
     Each step sets one column's factors from the sums of the cells under the other columns' factors. Cells, not documents, are
-    visited. There are ``rounds`` rounds; with a ``tolerance``, as many more, up to ``most``, as it takes until no marginal is further from its target.
-    Where that is not reached, because the rounds are over or a gap stands still (the cells cannot meet all targets), a warning
-    tells the gap. Values without a target keep factor 1; values with a target but no tokens have none to scale."""
+    visited. Rounds go on until no marginal is further than ``tolerance`` from its target. Where a gap stands still (the cells cannot meet all targets) or after ``most`` rounds
+    a warning tells the gap, or, ``strict``, an error. Values without a target keep factor 1; values with a target but no tokens have none to scale."""
     total, n = cells.agg(F.sum("tokens"), F.count("*")).first()
     every, small = float(total or 0.0), n <= ONE_TASK
     state = cells.withColumn("w", F.col("tokens"))
     for column, target in targets.items():
         state = state.join(target.select(column, F.col("share").alias(f"{column}_share")), column, "left")
     state, done, gap = scratch.write(state.coalesce(1) if small else state), 0, float("inf")
-    while done < rounds or (tolerance is not None and gap > tolerance and done < most):
-        now = min(rounds if small else 1, max(rounds, most) - done)
-        step = _rounds(state, list(targets), every, small, now)
-        new = scratch.write(step)
+    while done < ROUNDS or (gap > tolerance and done < most):
+        now = ROUNDS if small else 1
+        new = scratch.write(_rounds(state, list(targets), every, small, now))
         scratch.drop(state)
         state, done = new, done + now
-        if tolerance is not None:
+        if done % ROUNDS == 0:
             gap, before = new.agg(F.max("gap")).first()[0] or 0.0, gap
-            if done > rounds and before - gap < 1e-6 * gap * now / rounds:
+            if done > ROUNDS and before - gap < 1e-6 * gap:
                 break
-    if tolerance is not None and gap > tolerance:
-        logging.getLogger(__name__).warning("raking did not settle: a marginal is %.2g of all tokens from its target after %d rounds", gap, done)
+    if gap > tolerance:
+        said = f"raking did not settle: a marginal is {gap:.2g} of all tokens from its target after {done} rounds"
+        if strict:
+            raise ValueError(said)
+        logging.getLogger(__name__).warning(said)
     return state.withColumn("ratio", F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(1.0)).select(*cells.columns, "ratio")
 
 
-def calibrate(cells: DataFrame, keep: float | None = KEEP, fills: int | None = FILLS) -> DataFrame:
-    """Adds ``prob``: min(1, k * ratio), with k such that the expected tokens are ``keep`` of all. Where cells reach 1, the others share what is left, again and again:
-    ``fills`` times, or (None) until k stands still. Cells that reach 1 fall short of their weight; with ``keep`` None k is the largest with which none does, 1 / max(ratio)."""
+def calibrate(cells: DataFrame, keep: float | None = KEEP) -> DataFrame:
+    """Adds ``prob``: min(1, k * ratio), with k such that the expected tokens are ``keep`` of all. Where cells reach 1, the others share what is left, again and again
+    until k stands still. Cells that reach 1 fall short of their weight; with ``keep`` None k is the largest with which none does, 1 / max(ratio)."""
     if keep is None:
         top = cells.filter("tokens > 0").agg(F.max("ratio")).first()[0]
         return cells.withColumn("prob", F.least(F.lit(1.0), F.col("ratio") / F.lit(top or 1.0)))
     k = 0.0
-    for _ in itertools.count() if fills is None else range(fills):
+    while True:
         full = F.col("ratio") * F.lit(k) >= 1.0  # k only grows
         every, taken, left = cells.agg(F.sum("tokens"), F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("ratio")))).first()
         if not left:
@@ -103,54 +116,64 @@ def calibrate(cells: DataFrame, keep: float | None = KEEP, fills: int | None = F
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None,
-        targets: dict[str, DataFrame] | None = None, alpha: dict[str, float] = ALPHA, keep: float | None = KEEP, rounds: int = ROUNDS, salt: str = SALT, tolerance: float | None = None) -> DataFrame:
+        targets: dict[str, DataFrame] | None = None, alpha: dict[str, float] = ALPHA, keep: float | None = KEEP, salt: str = SALT, tolerance: float = TOLERANCE, strict: bool | None = None) -> DataFrame:
     """One row a row of ``docs``: id_col, source, lang, topic, n_tokens (words), weight, prob, sampled.
 
+    The topic is a word learned from all documents (``topic_words``, ``topic_of``) unless ``topic`` gives another one.
     ``targets``: for source, lang or topic a table (that column, share); where none is given, the token shares tempered
-    by ``alpha``. Without a ``tolerance`` there are as many rounds and fills as the SQL has; with one both go on until they settle. At ``keep`` 0.9 most cells
-    that should grow are full and targets are missed; with None they are reached in expectation, by fewer documents. weight is the raked ratio of the document's cell; prob the calibrated chance of being sampled; sampled is fixed by a hash of the id, so that a
-    rerun, or a retried task, samples the same documents. Null source or language: the value "(none)". Null and empty texts have no tokens;
+    by ``alpha``. Raking and filling go on until they settle; targets that the cells cannot meet are an error if they were given and a warning if they were tempered (``strict`` says otherwise).
+    At ``keep`` 0.9 most cells that should grow are full and targets are missed; with None they are reached in expectation, by fewer documents. weight is the raked ratio of the
+    document's cell; prob the calibrated chance of being sampled; sampled is fixed by a hash of the id, so that a
+    rerun, or a retried task, samples the same documents. Null is a source, language or topic like others. Null and empty texts have no tokens;
     they are sampled like their cell. A null id is never sampled. Repeated rows count each and share their fate. No documents, no rows."""
     scratch = Scratch(docs.sparkSession, "mix")
     text = F.col(text_col).cast("string")
-    named = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit(NONE)).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit(NONE)).alias("lang"),
-                        F.coalesce((topic_of(text) if topic is None else topic).cast("string"), F.lit(NONE)).alias("topic"), n_words(text).alias("n_tokens"))
-    rows = scratch.write(named.withColumn("cell", F.concat_ws(_KEY, "source", "lang", "topic")))
-    cells = scratch.write(rows.groupBy("cell", "source", "lang", "topic").agg(F.sum("n_tokens").cast("double").alias("tokens"), F.count("*").alias("n")))
+    words = words_of(text)
+    topic = topic_of(words, topic_words(docs, text)) if topic is None else topic.cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), topic.alias("topic"), F.size(words).cast("long").alias("n_tokens"))
+    keys = {c: f"{c}_key" for c in ("source", "lang", "topic")}
+    rows = scratch.write(rows.withColumn("cell", key_of(*(F.col(c) for c in keys))))
+    named = rows.select("cell", "n_tokens", *(key_of(F.col(c)).alias(k) for c, k in keys.items()))
+    cells = scratch.write(named.groupBy("cell", *keys.values()).agg(F.sum("n_tokens").cast("double").alias("tokens"), F.count("*").alias("n")))
     given = targets or {}
-    wanted = {c: given[c].select(c, "share") if c in given else scratch.write(tempered(cells, c, alpha[c])) for c in ("source", "lang", "topic")}
-    cells = calibrate(scratch.write(rake(cells, wanted, scratch, rounds, tolerance)), keep, FILLS if tolerance is None else None)
-    out = lookup(rows, cells.select("cell", "n", "ratio", "prob"), "cell", "n", rows.count())
+    wanted = {k: given[c].select(key_of(F.col(c)).alias(k), "share") if c in given else scratch.write(tempered(cells, k, alpha[c])) for c, k in keys.items()}
+    raked = scratch.write(rake(cells, wanted, scratch, tolerance, strict=bool(given) if strict is None else strict))
+    out = lookup(rows, calibrate(raked, keep).select("cell", "n", "ratio", "prob"), "cell", "n", rows.count())
     sampled = F.coalesce(unit_hash(F.col("id"), salt) < F.col("prob"), F.lit(False))
     return out.select(F.col("id").alias(id_col), "source", "lang", "topic", "n_tokens", F.round("ratio", 6).alias("weight"), F.round("prob", 6).alias("prob"), sampled.alias("sampled"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), tolerance=TOLERANCE)
+    return mix(table(spark, sf_dir, "documents"))
 
 
 def _oracle() -> str:
-    topic = " ".join(f"WHEN coalesce(text LIKE '{like}' ESCAPE '\\', false) THEN '{name}'" for name, like in TOPICS)
-    parts = [
-        f"""d AS MATERIALIZED (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, CASE {topic} ELSE 'prose' END AS topic,
-        len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents)""",
-        "c0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens, CAST(sum(n_tokens) AS DOUBLE) AS w FROM d GROUP BY ALL)",
-    ]
-    for c, a in ALPHA.items():
-        parts.append(f"t_{c} AS MATERIALIZED (SELECT {c}, p / sum(p) OVER () AS share FROM (SELECT {c}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {a}) ELSE 0 END AS p FROM c0 GROUP BY {c}))")
-    last = "c0"
-    for i, c in enumerate(list(ALPHA) * ROUNDS, 1):
-        parts.append(f"""c{i} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN s <= 0 THEN w ELSE w * share / s * t END AS w FROM
-        (SELECT c.*, share, sum(w) OVER (PARTITION BY c.{c}) AS s, sum(tokens) OVER () AS t FROM {last} c JOIN t_{c} USING ({c})))""")
-        last = f"c{i}"
-    parts.append(f"p0 AS MATERIALIZED (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 1 END AS ratio, 0.0::DOUBLE AS prob FROM {last})")
-    for i in range(1, FILLS + 1):
-        parts.append(f"""p{i} AS MATERIALIZED (SELECT source, lang, topic, tokens, ratio, CASE WHEN prob >= 1 THEN 1.0 ELSE least(1.0, k * ratio) END AS prob FROM
-        (SELECT *, CASE WHEN open > 0 THEN greatest(0.0, {KEEP} * al - taken) / open ELSE 1.0 END AS k FROM (SELECT *, sum(tokens) OVER () AS al,
-        sum(CASE WHEN prob >= 1 THEN tokens ELSE 0 END) OVER () AS taken, sum(CASE WHEN prob >= 1 THEN 0 ELSE tokens * ratio END) OVER () AS open FROM p{i - 1})))""")
-    return f"""WITH {', '.join(parts)} SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(ratio, 6) AS weight, round(prob, 6) AS prob,
-    coalesce(CAST(('0x' || substr(md5(doc_id || '{SALT}'), 1, 8)) AS BIGINT) / 4294967296.0 < prob, false) AS sampled
-    FROM d JOIN p{FILLS} p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.topic"""
+    """The same in SQL: raking and filling as recursion with the same tests of having settled."""
+    step = "(SELECT * FROM r)"
+    for i, c in enumerate(ALPHA):
+        step = f"""(SELECT * REPLACE (CASE WHEN s <= 0 THEN w ELSE w * {c}_share / s * every END AS w, CASE WHEN s <= 0 THEN {"gap" if i else "0"} ELSE greatest({"gap" if i else "0"}, abs(s / every - {c}_share)) END AS gap)
+            FROM (SELECT * EXCLUDE s, sum(w) OVER (PARTITION BY {c}) AS s FROM {step}))"""
+    shares = " ".join(f"t_{c} AS MATERIALIZED (SELECT {c}, p / sum(p) OVER () AS {c}_share FROM (SELECT {c}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {a}) ELSE 0 END AS p FROM c0 GROUP BY {c}))," for c, a in ALPHA.items())
+    joins = " ".join(f"JOIN t_{c} ON c0.{c} IS NOT DISTINCT FROM t_{c}.{c}" for c in ALPHA)
+    same = lambda a, b: " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in ALPHA)
+    going = f"it < {ROUNDS} OR (it < {MOST} AND NOT (it % {ROUNDS} = 0 AND (worst <= {TOLERANCE} OR (it > {ROUNDS} AND before - worst < 1e-6 * worst))))"
+    return f"""WITH RECURSIVE
+    w0 AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source, lang, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    df AS (SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(words)) AS word FROM w0) WHERE length(word) BETWEEN {SHORTEST} AND {LONGEST} GROUP BY word),
+    tw AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS rank FROM df WHERE n > 1 AND n <= (SELECT count(*) // {COMMON} FROM w0) ORDER BY rank LIMIT {TOPICS}),
+    hits AS (SELECT rid, word, count(*) AS n FROM (SELECT rid, unnest(words) AS word FROM w0) JOIN tw USING (word) GROUP BY rid, word),
+    topics AS (SELECT rid, arg_max(word, n * 1000 + rank) AS topic FROM hits JOIN tw USING (word) GROUP BY rid),
+    d AS MATERIALIZED (SELECT w0.rid, doc_id, source, lang, coalesce(topic, '{OTHER}') AS topic, len(words) AS n_tokens FROM w0 LEFT JOIN topics USING (rid)),
+    c0 AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL), {shares}
+    r AS (SELECT 0 AS it, c0.source, c0.lang, c0.topic, tokens, tokens AS w, sum(tokens) OVER () AS every, {", ".join(f"{c}_share" for c in ALPHA)}, 0.0::DOUBLE AS s, 0.0::DOUBLE AS gap, 'inf'::DOUBLE AS worst, 'inf'::DOUBLE AS before FROM c0 {joins}
+        UNION ALL SELECT it + 1, source, lang, topic, tokens, w, every, {", ".join(f"{c}_share" for c in ALPHA)}, s, gap, max(gap) OVER (), CASE WHEN it % {ROUNDS} = 0 THEN worst ELSE before END FROM {step} WHERE {going}),
+    p0 AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN tokens > 0 THEN w / tokens ELSE 1 END AS ratio FROM r WHERE it = (SELECT max(it) FROM r)),
+    f AS (SELECT 0.0::DOUBLE AS k, 0 AS it UNION ALL SELECT CASE WHEN open > 0 THEN greatest(0.0, {KEEP} * every - taken) / open WHEN k > 0 THEN k ELSE 1.0 END AS new, it + 1
+        FROM (SELECT k, it, sum(tokens) AS every, sum(CASE WHEN ratio * k >= 1 THEN tokens ELSE 0 END) AS taken, sum(CASE WHEN ratio * k >= 1 THEN 0 ELSE tokens * ratio END) AS open FROM f, p0 GROUP BY k, it)
+        WHERE CASE WHEN open > 0 THEN greatest(0.0, {KEEP} * every - taken) / open WHEN k > 0 THEN k ELSE 1.0 END > k * (1 + 1e-12))
+    SELECT doc_id, d.source, d.lang, d.topic, n_tokens, round(ratio, 6) AS weight, round(least(1.0, ratio * (SELECT max(k) FROM f)), 6) AS prob,
+    coalesce(CAST(('0x' || substr(md5(doc_id || '{SALT}'), 1, 8)) AS BIGINT) / 4294967296.0 < least(1.0, ratio * (SELECT max(k) FROM f)), false) AS sampled
+    FROM d JOIN p0 ON {same("d", "p0")}"""
 
 
 ORACLE = _oracle()

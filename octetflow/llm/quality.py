@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octetflow.llm.common import Scratch, lookup, table, unit_hash
+from octetflow.llm.common import Scratch, key_of, lookup, table, unit_hash
 
 FEATURES = ["upper", "symbols", "digits", "stutter", "bare", "tails", "repeats", "top", "variety", "word_len", "long_words", "short_words", "sentences", "line_copies", "short", "size"]
 #: Labelled documents to which the document classifier is fitted, at most: the first by a hash of the id.
@@ -85,12 +85,6 @@ def strength(groups: DataFrame, parent: str) -> float:
     return float(min(1000.0, max(1.0, within / between - 1))) if between > 0 else 1000.0
 
 
-def _named(value: Column) -> Column:
-    """A key that no other value shares, null included: the length stands before the value."""
-    value = value.cast("string")
-    return F.coalesce(F.concat(F.char_length(value).cast("string"), F.lit(":"), value), F.lit("-"))
-
-
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang",
              label_col: str = "quality", fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """One row a row of ``docs``: id_col, p_doc, host_posterior, path_posterior, quality, kept.
@@ -106,8 +100,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     classified like others. Without labels of both kinds nothing can be told: p_doc is 0.5 and all are kept. Null labels are ignored; of repeated ones the mean counts, and of
     texts repeated under a labelled id one."""
     scratch = Scratch(docs.sparkSession, "quality")
-    host, sub = _named(F.col(host_col)), _named(F.col(path_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), F.concat(host, sub).alias("path"), F.col(text_col).cast("string").alias("text"))
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), key_of(F.col(host_col)).alias("host"), key_of(F.col(host_col), F.col(path_col)).alias("path"), F.col(text_col).cast("string").alias("text"))
     rows = scratch.write(rows.mapInArrow(_featured, "id long, host string, path string, x array<double>"))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).filter("id is not null and y is not null")
     known = known.groupBy("id").agg(F.avg("y").alias("y")).orderBy(unit_hash(F.col("id"), "fit"), "id").limit(fit_rows)
