@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from octetflow.llm import embeddings, exact, mixing, substring
+from octetflow.llm import embeddings, exact, mixing, stages, substring
 from octetflow.llm.bpe import op2_bpe
 from octetflow.llm.embeddings import op5_embeddings
 from octetflow.llm.exact import op4_exact_dedup
@@ -16,7 +15,7 @@ from octetflow.llm.simhash import op1_simhash
 from octetflow.llm.substring import op3_substring_dedup
 
 QUERIES = {
-    "pipeline": corpus_pipeline.run,
+    "pipeline": stages.run,
     "op1_simhash": op1_simhash,
     "op2_bpe": op2_bpe,
     "op3_substring_dedup": op3_substring_dedup,

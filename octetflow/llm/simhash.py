@@ -20,21 +20,30 @@ PREFIX, VARIANTS = 16, 4_000_000
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64 bits; a bit is 1 if it is set in over half of the shingles' XXH64. Null and wordless texts: 0."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle, repeats included, A-Z lower-cased. Fewer words than a shingle: one of them all; none: nothing."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only; white space is \x20 and \x09-\x0D
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = ends[min(shingle, len(words)) - 1 :]
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
-    for i in range(0, n, _CHUNK):
-        s, e = starts[i : min(n, i + _CHUNK)].tolist(), last[i : min(n, i + _CHUNK)].tolist()
-        h = np.fromiter((digest(line[x:y], seed) for x, y in zip(s, e, strict=True)), np.uint64, len(s))
-        counts += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n).view(">u8")[0])
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(line[x:y], seed) for x, y in zip(starts[:n].tolist(), last[:n].tolist(), strict=True)), np.uint64, n)
+
+
+def fold_hashes(hashes: np.ndarray) -> int:
+    """64 bits; a bit is 1 if it is set in over half of the hashes. Of none: 0."""
+    counts = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        counts += np.unpackbits(hashes[i : i + _CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes)).view(">u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The SimHash of a text's shingles. Null and wordless texts: 0."""
+    return fold_hashes(shingle_hashes(text, shingle, seed))
 
 
 def _fingerprints(shingle: int):

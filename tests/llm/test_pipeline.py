@@ -3,11 +3,19 @@ from octetflow.llm.bpe import bpe_digests
 from octetflow.llm.exact import exact_dedup
 from octetflow.llm.mixing import mix
 from octetflow.llm.quality import classify
-from octetflow.llm.simhash import fingerprint
 
 SF = "/root/testdata/sf0.001"
 
 
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar(x, y):
+    return 10 * len(x & y) >= 8 * len(x | y)
+
+
 def test_run_is_its_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     all_rows = docs.collect()
@@ -18,14 +26,14 @@ def test_run_is_its_stages(spark):
         t = r.text.encode().lower()
         by_text[t] = max(i, by_text.get(t, -1))
     left = {i: left[i] for i in by_text.values()}
-    fps = {i: fingerprint(r.text) for i, r in left.items()}
+    sets = {i: shingles(r.text) for i, r in left.items()}
     root = {i: i for i in left}
     changed = True
     while changed:
         changed = False
-        for a in fps:
-            for b in fps:
-                if (fps[a] ^ fps[b]).bit_count() <= 4 and root[a] > root[b]:
+        for a in sets:
+            for b in sets:
+                if root[a] > root[b] and similar(sets[a], sets[b]):
                     root[a], changed = root[b], True
     left = {i: r for i, r in left.items() if root[i] == i}
     kept = docs.filter(docs.doc_id.isin(list(left)))
