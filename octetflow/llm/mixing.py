@@ -29,20 +29,21 @@ def words_of(text: Column) -> Column:
 def topic_words(docs: DataFrame, text: Column, topics: int = TOPICS) -> list[str]:
     """The ``topics`` words of ``SHORTEST`` to ``LONGEST`` characters that most documents have, among those that no more than one in ``COMMON`` has; the most frequent
     first, ties by name. Counted over all documents by partial aggregation; only the chosen words reach the driver."""
-    each = F.array_distinct(F.filter(words_of(text), lambda w: F.char_length(w).between(SHORTEST, LONGEST)))
-    seen = docs.select(F.explode(each).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    each = docs.select(F.explode(F.array_distinct(words_of(text))).alias("word"))
+    seen = each.filter(F.char_length("word").between(SHORTEST, LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
     most = docs.count() // COMMON
     return [r["word"] for r in seen.filter((F.col("n") > 1) & (F.col("n") <= F.lit(most))).orderBy(F.desc("n"), "word").limit(topics).collect()]
 
 
-def topic_of(words: Column, topics: list[str]) -> Column:
-    """The topic word that is most often among the words, the rarer one of equals; ``OTHER`` where there is none."""
+def with_topic(docs: DataFrame, topics: list[str], words: str = "words") -> DataFrame:
+    """``docs`` with a column ``topic``: the topic word that is most often among the words (a column), the rarer one of equals; ``OTHER`` where there is none. The few topic words of a text
+    are taken out first, in a projection of their own, so that the text is gone through once."""
     if not topics:
-        return F.lit(OTHER)
+        return docs.withColumn("topic", F.lit(OTHER))
     every = F.array(*(F.lit(t) for t in topics))
-    own = F.filter(words, lambda w: w.isin(topics))
-    scored = F.transform(F.array_distinct(own), lambda t: F.struct(F.size(F.filter(own, lambda w: w == t)).alias("n"), F.array_position(every, t).alias("rank"), t.alias("word")))
-    return F.coalesce(F.array_max(scored)["word"], F.lit(OTHER))
+    own = docs.withColumn("_own", F.filter(words, lambda w: w.isin(topics)))
+    scored = F.transform(F.array_distinct("_own"), lambda t: F.struct(F.size(F.filter("_own", lambda w: w == t)).alias("n"), F.array_position(every, t).alias("rank"), t.alias("word")))
+    return own.withColumn("topic", F.coalesce(F.array_max(scored)["word"], F.lit(OTHER))).drop("_own")
 
 
 def tempered(cells: DataFrame, column: str, alpha: float) -> DataFrame:
@@ -119,7 +120,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         targets: dict[str, DataFrame] | None = None, alpha: dict[str, float] = ALPHA, keep: float | None = KEEP, salt: str = SALT, tolerance: float = TOLERANCE, strict: bool | None = None) -> DataFrame:
     """One row a row of ``docs``: id_col, source, lang, topic, n_tokens (words), weight, prob, sampled.
 
-    The topic is a word learned from all documents (``topic_words``, ``topic_of``) unless ``topic`` gives another one.
+    The topic is a word learned from all documents (``topic_words``, ``with_topic``) unless ``topic`` gives another one.
     ``targets``: for source, lang or topic a table (that column, share); where none is given, the token shares tempered
     by ``alpha``. Raking and filling go on until they settle; targets that the cells cannot meet are an error if they were given and a warning if they were tempered (``strict`` says otherwise).
     At ``keep`` 0.9 most cells that should grow are full and targets are missed; with None they are reached in expectation, by fewer documents. weight is the raked ratio of the
@@ -128,9 +129,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     they are sampled like their cell. A null id is never sampled. Repeated rows count each and share their fate. No documents, no rows."""
     scratch = Scratch(docs.sparkSession, "mix")
     text = F.col(text_col).cast("string")
-    words = words_of(text)
-    topic = topic_of(words, topic_words(docs, text)) if topic is None else topic.cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), topic.alias("topic"), F.size(words).cast("long").alias("n_tokens"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), *([] if topic is None else [topic.cast("string").alias("topic")]), words_of(text).alias("words"))
+    rows = (with_topic(rows, topic_words(docs, text)) if topic is None else rows).select("id", "source", "lang", "topic", F.size("words").cast("long").alias("n_tokens"))
     keys = {c: f"{c}_key" for c in ("source", "lang", "topic")}
     rows = scratch.write(rows.withColumn("cell", key_of(*(F.col(c) for c in keys))))
     named = rows.select("cell", "n_tokens", *(key_of(F.col(c)).alias(k) for c, k in keys.items()))

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 from octetflow.llm.common import Scratch
-from octetflow.llm.mixing import ALPHA, ORACLE, OTHER, TOLERANCE, calibrate, mix, rake, tempered, topic_of, topic_words
+from octetflow.llm.mixing import ALPHA, ORACLE, OTHER, TOLERANCE, calibrate, mix, rake, tempered, topic_words, with_topic
 
 SCHEMA = "doc_id long, text string, lang string, source string, prob string, cell string"
 
@@ -92,7 +92,7 @@ def test_topics_are_learned_from_all_documents(spark):
     assert topics == ["football", "goals", "harbour"]  # 20 documents each; common words are in too many, numbers in too few
     from octetflow.llm.mixing import words_of
 
-    got = {r.doc_id: r.t for r in df.select("doc_id", topic_of(words_of(df.text), topics).alias("t")).collect()}
+    got = {r.doc_id: r.topic for r in with_topic(df.select("doc_id", words_of(df.text).alias("words")), topics).collect()}
     assert got[0] == "harbour" and got[1] == "goals" and got[2] == OTHER
     assert topic_words(df.limit(0), df.text) == []
 
