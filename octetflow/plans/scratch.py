@@ -10,10 +10,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _scopes: list[list[str]] = []
-_sessions: dict[str, SparkSession] = {}
+_roots: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,28 +30,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration() if spark._jsc is None else spark._jsc.hadoopConfiguration()).delete(p, True)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _application(spark: SparkSession) -> str:
     root = f"{shared_dir(spark)}/octetflow/{spark.sparkContext.applicationId}"
-    if root not in _sessions:
-        _sessions[root] = spark
+    _roots.add(root)
     return root
 
 
 def clear(spark: SparkSession) -> None:
     """Removes all that this application has written. Frames that read it can't be used any more."""
     root = _application(spark)
-    _sessions.pop(root, None)
+    _roots.discard(root)
     delete(spark, root)
 
 
 @atexit.register
 def _clear_all() -> None:
-    for root, spark in _sessions.items():
-        with contextlib.suppress(Exception):  # the JVM may be gone
-            delete(spark, root)
+    for root in _roots:
+        with contextlib.suppress(Exception):  # the session is over, and the JVM may be gone
+            jvm = SparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(root)
+            p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
 
 
 @contextlib.contextmanager
