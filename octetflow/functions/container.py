@@ -197,7 +197,7 @@ def bmp_decode(image: bytes, length: int | None = None, key: str | bytes | None
 
 
 def verify(data: bytes, stored: dict[str, str]) -> dict[str, bool | None]:
-    """Each stored digest against the data (None where none is stored), and ``overall``: True without a stored XXH3, else whether all stored ones agree."""
+    """Each stored digest against the data (None where none is stored), and ``overall``, as stored images are accepted: True without a stored XXH3, else whether all stored ones agree."""
     texts = digest_texts(data)
     out: dict[str, bool | None] = {k: (texts[k] == stored[k] if stored.get(k) else None) for k in ("hash", "SHA", "CRC")}
     out["overall"] = True if out["hash"] is None else all(v is not False for v in out.values())

@@ -12,8 +12,8 @@ from octetflow.functions.codecs import compress, decompress
 from octetflow.functions.digests import key_bytes
 from octetflow.operators.archive import unpack_entries
 
-_STATUS = pa.struct([("filename", pa.string()), ("content", pa.binary()), ("hash_ok", pa.bool_()), ("sha_ok", pa.bool_()), ("crc_ok", pa.bool_()), ("verified", pa.bool_()), ("compressed", pa.bool_()), ("packed", pa.bool_()), ("error", pa.string())])
-STATUS = "struct<filename:string,content:binary,hash_ok:boolean,sha_ok:boolean,crc_ok:boolean,verified:boolean,compressed:boolean,packed:boolean,error:string>"
+_STATUS = pa.struct([("filename", pa.string()), ("content", pa.binary()), ("hash_ok", pa.bool_()), ("sha_ok", pa.bool_()), ("crc_ok", pa.bool_()), ("verified", pa.bool_()), ("accepted", pa.bool_()), ("compressed", pa.bool_()), ("packed", pa.bool_()), ("error", pa.string())])
+STATUS = "struct<filename:string,content:binary,hash_ok:boolean,sha_ok:boolean,crc_ok:boolean,verified:boolean,accepted:boolean,compressed:boolean,packed:boolean,error:string>"
 
 
 def encode(
@@ -52,14 +52,17 @@ def _payload(raw: bytes, beside, key, errors) -> tuple[dict, bytes, bool, str |
             fields["filename"] = fields["original_filename"]
         else:
             raise ValueError("the image holds no header")
+        if secret and key is None:
+            raise ValueError("the payload is encrypted and no key is given")
         return fields, C.bmp_decode(raw, int(fields["binary_length"]) // 8), bool(secret and key is not None), None
     except errors as e:
         return {}, b"", False, str(e) or type(e).__name__
 
 
 def decode(images: DataFrame, image: str = "image", key: str | bytes | None = None, metadata: str | None = None) -> DataFrame:
-    """``images`` with filename, content (decompressed where it was compressed), hash_ok, sha_ok, crc_ok (null: not stored), verified, compressed, packed and error. A damaged
-    image gives an error in its row and fails nothing else. ``metadata``: a column with the map of images without a header."""
+    """``images`` with filename, content (decompressed where it was compressed), hash_ok, sha_ok, crc_ok (null: not stored), verified (all stored digests agree; null where none is stored, as
+    nothing then tells a wrong key), accepted (what stored images pass by: true also where no XXH3 is stored), compressed, packed and error. A damaged
+    image, or an encrypted one without a key, gives an error in its row and fails nothing else. ``metadata``: a column with the map of images without a header."""
 
     def run(data, apart):
         out, errors = [], (ValueError, KeyError, OSError, EOFError)
@@ -73,10 +76,11 @@ def decode(images: DataFrame, image: str = "image", key: str | bytes | None = No
                     raise ValueError(error)
                 body = plain.get(k, body)
                 seen = C.verify(body, {k: fields.get(k, "") for k in ("hash", "SHA", "CRC")})
-                row |= {"filename": fields["filename"], "hash_ok": seen["hash"], "sha_ok": seen["SHA"], "crc_ok": seen["CRC"], "verified": seen["overall"], "compressed": fields.get("compress") == "true", "packed": fields.get("pack") == "true"}
+                known = [seen[x] for x in ("hash", "SHA", "CRC") if seen[x] is not None]
+                row |= {"filename": fields["filename"], "hash_ok": seen["hash"], "sha_ok": seen["SHA"], "crc_ok": seen["CRC"], "verified": all(known) if known else None, "accepted": seen["overall"], "compressed": fields.get("compress") == "true", "packed": fields.get("pack") == "true"}
                 row["content"] = decompress(body) if row["compressed"] and body else body
             except errors as e:
-                row |= {"error": str(e), "verified": False}
+                row |= {"error": str(e), "verified": False, "accepted": False}
             out.append(row)
         return pa.array(out, _STATUS)
 

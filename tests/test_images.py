@@ -67,7 +67,7 @@ def test_round_trip(spark, options):
     rows = {r.path: r for r in back.collect()}
     for path, data in contents():
         r = rows[path]
-        assert r.error is None and bytes(r.content) == data and r.verified and r.filename == path.rsplit("/", 1)[-1]
+        assert r.error is None and bytes(r.content) == data and r.accepted and r.verified is (None if options.get('with_hash') is False and not (options.get('sha') or options.get('crc')) else True) and r.filename == path.rsplit("/", 1)[-1]
         assert r.compressed == bool(options.get("level")) and r.hash_ok is (None if options.get("with_hash") is False else True) and r.sha_ok is (True if options.get("sha") else None)
 
 
@@ -94,3 +94,16 @@ def test_verify():
     assert C.verify(b"abc", good) == {"hash": True, "SHA": True, "CRC": True, "overall": True}
     assert C.verify(b"abc", {**good, "CRC": "0"})["overall"] is False
     assert C.verify(b"abc", {"hash": "", "SHA": "bad"}) == {"hash": None, "SHA": False, "CRC": None, "overall": True}
+
+
+def test_nothing_stored_means_nothing_verified_and_a_missing_key_is_an_error(spark):
+    rows = spark.createDataFrame([("a.txt", bytearray(b"some bytes " * 40))], "path string, content binary")
+    hidden = images.encode(rows, key=password_key("p"), with_hash=False).drop("content")
+    (none,) = images.decode(hidden).collect()
+    assert "no key" in none.error and none.verified is False and none.accepted is False and none.content is None
+    (wrong,) = images.decode(hidden, key=password_key("q")).collect()
+    assert wrong.verified is None and wrong.accepted  # nothing stored can tell a wrong key
+    (sha,) = images.decode(images.encode(rows, key=password_key("p"), with_hash=False, sha=True).drop("content"), key=password_key("q")).collect()
+    assert sha.verified is False and sha.sha_ok is False and sha.accepted
+    (plain,) = images.decode(images.encode(rows, with_hash=False).drop("content")).collect()
+    assert plain.verified is None and bytes(plain.content) == b"some bytes " * 40
