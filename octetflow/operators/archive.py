@@ -41,9 +41,17 @@ def layout(files: DataFrame, by: list[str] | None = None) -> DataFrame:
     return joined.select(*by, (F.col("n0") + F.row_number().over(inside) - 1).cast("long").alias("idx"), "relative_path", offset.cast("long").alias("offset"), "data_size")
 
 
+def _distinct(placed: DataFrame, by: list[str]) -> DataFrame:
+    """One row a path, as the layout has them; a path that stands twice in an archive fails the query, as its two rows could not be told apart."""
+    said = F.concat(F.lit("the archive holds this path more than once: "), F.col("relative_path"))
+    one = placed.groupBy(*by, "relative_path").agg(F.min("idx").alias("idx"), F.min("offset").alias("offset"), F.min("data_size").alias("data_size"), F.count("*").alias("rows"))
+    return one.withColumn("offset", F.when(F.col("rows") > 1, F.raise_error(said).cast("long")).otherwise(F.col("offset"))).drop("rows")
+
+
 def volumes(files: DataFrame, by: list[str], limit: int) -> DataFrame:
-    """``files`` with a column ``volume``: successive stretches, in archive order, of about ``limit`` bytes, so that (by, volume) packs into archives of bounded size."""
-    placed = layout(files.select(*by, "relative_path", F.octet_length("content").alias("size")), by).select(*by, "relative_path", F.floor((F.col("offset") - 4) / F.lit(limit)).alias("volume"))
+    """``files`` with a column ``volume``: successive stretches, in archive order, of about ``limit`` bytes, so that (by, volume) packs into archives of bounded size.
+    Paths must be distinct in an archive; a repeated one is an error."""
+    placed = _distinct(layout(files.select(*by, "relative_path", F.octet_length("content").alias("size")), by), by).select(*by, "relative_path", F.floor((F.col("offset") - 4) / F.lit(limit)).alias("volume"))
     f, p = files.alias("f"), placed.alias("p")
     same = [F.col(f"f.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*by, "relative_path"]]
     return f.join(p, reduce(and_, same)).select("f.*", "p.volume")
@@ -51,9 +59,9 @@ def volumes(files: DataFrame, by: list[str], limit: int) -> DataFrame:
 
 def pieces(files: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, offset, piece): bytes of archives and where they stand, an entry a row and one for the count. Written at their places, or joined in order, they are the
-    archive; no task holds more than an entry, so archives can be of any size. ``files``: (by, relative_path, content), paths distinct in an archive."""
+    archive; no task holds more than an entry, so archives can be of any size. ``files``: (by, relative_path, content), paths distinct in an archive; a repeated one is an error."""
     by = by or []
-    placed = layout(files.select(*by, "relative_path", F.octet_length("content").alias("size")), by)
+    placed = _distinct(layout(files.select(*by, "relative_path", F.octet_length("content").alias("size")), by), by)
     f, p = files.alias("f"), placed.alias("p")
     same = [F.col(f"f.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*by, "relative_path"]]
     head = F.concat(_little(F.octet_length(F.col("p.relative_path")).cast("long"), 4), F.encode(F.col("p.relative_path"), "utf-8"), _little(F.col("p.data_size"), 8))

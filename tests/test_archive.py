@@ -90,3 +90,10 @@ def test_empty(spark):
     none = table(spark, [])
     assert A.pack(none, ["folder"]).count() == 0 and A.pieces(none, ["folder"]).count() == 0
     assert [bytes(r.piece) for r in A.pieces(none).collect()] == [bytes(4)]
+
+
+def test_a_path_that_stands_twice_is_an_error(spark):
+    df = spark.createDataFrame([("f", "a", bytearray(b"1")), ("f", "a", bytearray(b"2"))], "folder string, relative_path string, content binary")
+    for made in (A.volumes(df, ["folder"], 100), A.pieces(df, ["folder"])):
+        with pytest.raises(Exception, match="more than once"):
+            made.collect()
