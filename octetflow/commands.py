@@ -6,17 +6,20 @@ import argparse
 import os
 import secrets
 import sys
+import time
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octetflow.functions import codecs, digests
-from octetflow.operators import archive, compare, delta, images, shares
+from octetflow.functions import codecs, digests, names
+from octetflow.operators import archive, blocks, compare, delta, images, shares
 from octetflow.sources import files as store
 
 VERSION = "0.6"
+#: Files above this many bytes are read by blocks where the command has a way for it; others are one value.
+LARGE = 1 << 30
 #: Names of digests as they are shown.
 _SHOWN = {"sha": ("SHA-256", digests.sha256), "crc": ("CRC32", digests.crc32), "xxh": ("xxHash64", digests.xxh3)}
 
@@ -34,6 +37,11 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
+def _size(spark: SparkSession, path: str) -> int:
+    at = spark._jvm.org.apache.hadoop.fs.Path(_whole(path))
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getLen()
+
+
 def _one(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of one file."""
     if _is_folder(spark, path):
@@ -59,6 +67,11 @@ def hash_(spark: SparkSession, a: argparse.Namespace) -> None:
             compare.report(listed, digest, a.path).write.text(_whole(f"{a.save_path}/{_name(a.path)}_hash_info.txt"))
         return
     wanted = [k for k in ("sha", "crc") if getattr(a, k)] or ["xxh"]
+    if _size(spark, a.path) > LARGE:
+        row = blocks.digests(spark.read.format("octet_blocks").load(_whole(a.path))).first()
+        for k in wanted:
+            print(f"{_SHOWN[k][0]}: {row[k]}")
+        return
     row = _one(spark, a.path).select(*(_SHOWN[k][1](F.col("content")).alias(k) for k in wanted)).first()
     for k in wanted:
         print(f"{_SHOWN[k][0]}: {row[k]}")
@@ -85,14 +98,25 @@ def ztc(spark: SparkSession, a: argparse.Namespace) -> None:
     _save(_named(made, "archive", a.output or os.path.splitext(_name(a.path))[0] + ".cfup"), a.save_path)
 
 
+def _statistics(spark: SparkSession, source: str, target: str, seconds: float, percent, shown: str) -> None:
+    """Sizes, their ratio, what was saved or added, and MiB a second, from the two files' sizes."""
+    sizes = spark.createDataFrame([(_size(spark, source), _size(spark, target), seconds)], "a long, b long, s double")
+    larger = "b" if shown == "Expansion" else "a"
+    smaller = "a" if larger == "b" else "b"
+    row = sizes.select("a", "b", names.ratio(F.col(larger), F.col(smaller)).alias("ratio"), percent(F.col("a"), F.col("b")).alias("percent"), names.throughput_mib(F.col(larger), F.col("s")).alias("speed")).first()
+    print(f"{row['a']} -> {row['b']} bytes, ratio {row['ratio'] or 0:.2f}, {shown} {row['percent'] or 0:.2f}%, {row['speed'] or 0:.2f} MiB/s")
+
+
 def compress(spark: SparkSession, a: argparse.Namespace) -> None:
-    made = _one(spark, a.path).withColumn("content", codecs.compressed(F.col("content"), a.level))
-    _save(_named(made, "content", a.output or os.path.splitext(_name(a.path))[0] + ".cfmp"), a.save_path)
+    began, name = time.monotonic(), a.output or os.path.splitext(_name(a.path))[0] + ".cfmp"
+    _save(_named(_one(spark, a.path).withColumn("content", codecs.compressed(F.col("content"), a.level)), "content", name), a.save_path)
+    _statistics(spark, a.path, f"{a.save_path}/{name}", time.monotonic() - began, names.reduction_percent, "Reduction")
 
 
 def decompress(spark: SparkSession, a: argparse.Namespace) -> None:
-    made = _one(spark, a.path).withColumn("content", codecs.decompressed(F.col("content")))
-    _save(_named(made, "content", a.output or os.path.splitext(_name(a.path))[0]), a.save_path)
+    began, name = time.monotonic(), a.output or os.path.splitext(_name(a.path))[0]
+    _save(_named(_one(spark, a.path).withColumn("content", codecs.decompressed(F.col("content"))), "content", name), a.save_path)
+    _statistics(spark, a.path, f"{a.save_path}/{name}", time.monotonic() - began, names.expansion_percent, "Expansion")
 
 
 def diff(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -111,6 +135,7 @@ def split(spark: SparkSession, a: argparse.Namespace) -> None:
     made = shares.split_files(_one(spark, a.path).withColumn("nonce", F.lit(nonce)), a.n, a.k, key, coefficients, nonce="nonce")
     name = F.concat(F.lit(os.path.splitext(_name(a.path))[0] + "_split_"), F.col("share_id").cast("string"), F.lit(".cfs"))
     _save(made.select(name.alias("relative_path"), shares.share_bytes().alias("content")), a.save_path)
+    print(f"{a.n} shares, any {a.k} recover; stored {a.n / a.k:.2f} times the input")
 
 
 def integrate(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -154,7 +179,7 @@ def decode(spark: SparkSession, a: argparse.Namespace) -> None:
         image, column = image.withColumn("metadata", F.create_map(*pairs)), "metadata"
     out = images.decode(image, key=key, metadata=column)
     state = out.drop("content").first()
-    if state["error"] or not state["verified"]:
+    if state["error"] or not state["accepted"]:
         raise ValueError(state["error"] or "the payload's digests don't agree with the stored ones")
     name = _name(state["filename"])
     if state["compressed"]:

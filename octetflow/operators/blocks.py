@@ -6,9 +6,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,44 @@ def fnv(blocks: DataFrame) -> DataFrame:
     return fnv_in_order(rows).select(F.col("g").alias("path"), "fnv", F.col("n").alias("blocks"), "size")
 
 
+def _running(batches):
+    """(path, block_no, bytes), sorted by path and number, to a row of digests a file. A file of which a block is missing is an error."""
+    now, state, after = None, None, 0
+    for batch in batches:
+        done = []
+        for path, no, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if path != now:
+                if now is not None:
+                    done.append((now, *_digests(state)))
+                now, state, after = path, [hashlib.sha256(), 0, xxhash.xxh3_64(), 0], 0
+            if no != after:
+                raise ValueError(f"{path}: block {after} is missing or repeated")
+            raw, after = data.as_buffer(), no + 1
+            state[0].update(raw)
+            state[1] = zlib.crc32(raw, state[1])
+            state[2].update(raw)
+            state[3] += len(raw)
+        yield _digest_rows(done)
+    if now is not None:
+        yield _digest_rows([(now, *_digests(state))])
+
+
+def _digests(state: list) -> tuple:
+    return state[0].hexdigest(), f"{state[1]:X}", f"{state[2].intdigest():X}", state[3]
+
+
+def _digest_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string()] * 4 + [pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["path", "sha", "crc", "xxh", "size"])
+
+
+def digests(blocks: DataFrame) -> DataFrame:
+    """(path, sha, crc, xxh, size): SHA-256, CRC-32 and XXH3-64 of whole files of any size, as ``functions.digests`` writes them. These are folds one block after
+    another by their nature: a file is read by one task, which holds a block at a time. (FNV-1a has a spread form, ``fnv``.)"""
+    rows = blocks.select("path", "block_no", "bytes").repartition("path").sortWithinPartitions("path", "block_no")
+    return rows.mapInArrow(_running, "path string, sha string, crc string, xxh string, size long")
+
+
 def cipher(blocks: DataFrame, key: str | bytes) -> DataFrame:
     """The cipher of stored images; blocks of 1 MiB, each with its number as nonce. Its own inverse."""
     secret = key_bytes(key)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import uuid
 
+from pyarrow.fs import FileSelector, FileSystem, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from octetflow.functions.names import relative
 from octetflow.operators import archive, shares
@@ -73,6 +76,71 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         raise OSError(f"could not write {path}")
 
 
+class _Range(InputPartition):
+    """Stretches of files: (path, size, first block, blocks)."""
+
+    def __init__(self, parts: list[tuple[str, int, int, int]]):
+        self.parts = parts
+
+
+class _BlockReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.size, self.task = options["path"], int(options.get("blocksize", 1 << 20)), int(options.get("taskbytes", 128 << 20))
+        if self.size < 1 or self.size > 1 << 30:
+            raise ValueError("blocks have 1 byte to 1 GiB")
+
+    def partitions(self):
+        """Files are cut into stretches of about ``taskbytes``; small ones share a task. Only names and sizes are read here."""
+        fs, root = FileSystem.from_uri(self.path)
+        info = fs.get_file_info(root)
+        found = [info] if info.type == FileType.File else sorted((f for f in fs.get_file_info(FileSelector(root, recursive=True)) if f.type == FileType.File), key=lambda f: f.path)
+        out, parts, room = [], [], self.task
+        for f in found:
+            count = max(1, -(-f.size // self.size))
+            at = 0
+            while at < count:
+                n = min(count - at, max(1, room // self.size))
+                parts.append((f.path, f.size, at, n))
+                at, room = at + n, room - n * self.size
+                if room < self.size:
+                    out.append(_Range(parts))
+                    parts, room = [], self.task
+        return [*out, _Range(parts)] if parts else out
+
+    def read(self, partition):
+        fs, _ = FileSystem.from_uri(self.path)
+        for path, size, first, n in partition.parts:
+            with fs.open_input_file(path) as f:
+                for k in range(first, first + n):
+                    data = f.read_at(min(self.size, size - k * self.size), k * self.size) if size else b""
+                    if len(data) != max(0, min(self.size, size - k * self.size)):
+                        raise OSError(f"{path} has become shorter")
+                    yield path, size, k, data
+
+
+class BlockSource(DataSource):
+    """``spark.read.format("octet_blocks").load(uri)``: files of any size as rows (path, size, block_no, bytes), which tasks read by ranges. Options: ``blockSize`` (bytes, 1 MiB) and ``taskBytes``
+    (128 MiB). An empty file has one empty block. The URI is of any store that Arrow opens and that driver and executors share."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "octet_blocks"
+
+    def schema(self) -> str:
+        return "path string, size long, block_no long, bytes binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _BlockReader(self.options)
+
+
+def _shared_path(path: str) -> str:
+    """A path of the file system that driver and executors share. The sinks write by places, which other stores don't offer, so they are refused instead of ending up in a local folder of that name."""
+    scheme = path.split(":", 1)[0] if re.match(r"\w[\w+.-]+:/", path) else "file"
+    if scheme != "file":
+        raise ValueError(f"the sinks write to folders that driver and executors share, not to {scheme}: stores")
+    return re.sub(r"^file:/+", "/", path)
+
+
 class _Done(WriterCommitMessage):
     def __init__(self, names: list[tuple[str, str]]):
         self.names = names
@@ -80,29 +148,40 @@ class _Done(WriterCommitMessage):
 
 class _FileWriter(DataSourceWriter):
     def __init__(self, folder: str):
-        self.folder = folder
+        self.folder, self.job = folder, uuid.uuid4().hex
 
     def write(self, iterator) -> WriterCommitMessage:
         names = []
-        for row in iterator:
-            to = os.path.join(self.folder, archive.safe_path(row["relative_path"]))
-            os.makedirs(os.path.dirname(to), exist_ok=True)
-            part = f"{to}.{uuid.uuid4().hex}.part"
-            with open(part, "wb") as f:
-                f.write(row["content"])
-            names.append((part, to))
+        try:
+            for row in iterator:
+                to = os.path.join(self.folder, archive.safe_path(row["relative_path"]))
+                os.makedirs(os.path.dirname(to), exist_ok=True)
+                part = f"{to}.{self.job}.{uuid.uuid4().hex}.part"
+                names.append((part, to))
+                with open(part, "wb") as f:
+                    f.write(row["content"])
+        except BaseException:
+            for part, _ in names:
+                with contextlib.suppress(FileNotFoundError):
+                    os.remove(part)
+            raise
         return _Done(names)
 
+    def _sweep(self) -> None:
+        """Removes what attempts that were lost with their executor have left."""
+        for at, _, names in os.walk(self.folder):
+            for name in names:
+                if name.endswith(".part") and f".{self.job}." in name:
+                    os.remove(os.path.join(at, name))
+
     def commit(self, messages) -> None:
         for m in messages:
             for part, to in m.names if m else []:
                 os.replace(part, to)
+        self._sweep()
 
     def abort(self, messages) -> None:
-        for m in messages:
-            for part, _ in m.names if m else []:
-                if os.path.exists(part):
-                    os.remove(part)
+        self._sweep()
 
 
 class FileSink(DataSource):
@@ -114,7 +193,7 @@ class FileSink(DataSource):
         return "octet_files"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _FileWriter(self.options["path"].removeprefix("file://"))
+        return _FileWriter(_shared_path(self.options["path"]))
 
 
 class _ArchiveWriter(DataSourceWriter):
@@ -151,9 +230,10 @@ class ArchiveSink(DataSource):
         return "octet_archive"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _ArchiveWriter(self.options["path"].removeprefix("file://"))
+        return _ArchiveWriter(_shared_path(self.options["path"]))
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FileSink)
     spark.dataSource.register(ArchiveSink)
+    spark.dataSource.register(BlockSource)

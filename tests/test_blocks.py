@@ -59,3 +59,48 @@ def test_shares_are_those_of_whole_files(spark, tmp_path):
         B.restore(parts.filter("share_id < 3"), k, KEY, NONCE, size, 20_000).collect()
     with pytest.raises(ValueError):
         B.disperse(parts, n, k, KEY, NONCE, 100)
+
+
+def test_files_are_read_by_ranges(spark, tmp_path):
+    import hashlib
+    import zlib
+
+    import xxhash
+
+    from octetflow.operators import blocks
+    from octetflow.sources import files
+
+    files.register(spark)
+    data = {"a.bin": bytes(range(256)) * 5000, "sub/b.bin": b"x" * 70_000, "empty": b"", "é.txt": b"short"}
+    for name, content in data.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    df = spark.read.format("octet_blocks").option("blockSize", "65536").option("taskBytes", "200000").load(f"file://{tmp_path}")
+    assert df.rdd.getNumPartitions() > 5
+    got = {r.path.removeprefix(f"{tmp_path}/"): r for r in blocks.digests(df).collect()}
+    assert set(got) == set(data)
+    for name, content in data.items():
+        r = got[name]
+        assert (r.sha, r.crc, r.xxh, r.size) == (hashlib.sha256(content).hexdigest(), f"{zlib.crc32(content):X}", f"{xxhash.xxh3_64_intdigest(content):X}", len(content))
+    assert {r.path.removeprefix(f"{tmp_path}/"): r.size for r in blocks.fnv(df).collect()} == {n: len(c) for n, c in data.items()}
+    one = spark.read.format("octet_blocks").load(f"file://{tmp_path}/a.bin")
+    assert one.select("path", "size").distinct().collect()[0].size == len(data["a.bin"])
+
+
+def test_a_file_beyond_two_gibibytes(spark, tmp_path):
+    import hashlib
+
+    from octetflow.operators import blocks
+    from octetflow.sources import files
+
+    files.register(spark)
+    size = (2 << 30) + 12_345
+    with open(tmp_path / "sparse", "wb") as f:
+        f.seek(size - 3)
+        f.write(b"end")
+    want = hashlib.sha256()
+    for _ in range(size // (1 << 20)):
+        want.update(bytes(1 << 20))
+    want.update(bytes(size % (1 << 20) - 3) + b"end")
+    (row,) = blocks.digests(spark.read.format("octet_blocks").option("blockSize", str(8 << 20)).load(f"file://{tmp_path}/sparse")).collect()
+    assert (row.size, row.sha) == (size, want.hexdigest())

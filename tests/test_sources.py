@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from octetflow.functions import names
@@ -87,3 +88,11 @@ def test_stream(spark, tmp_path):
     query = counts.writeStream.format("memory").queryName("arrivals").outputMode("update").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sum(r.files for r in spark.table("arrivals").collect()) == 2
+
+
+@pytest.mark.parametrize("kind", ["octet_files", "octet_archive"])
+def test_sinks_refuse_other_stores(spark, kind):
+    S.register(spark)
+    df = spark.createDataFrame([("a", bytearray(b"x"), 0, bytearray(b"x"))], "relative_path string, content binary, offset long, piece binary")
+    with pytest.raises(Exception, match="not to hdfs"):
+        df.write.format(kind).mode("append").save("hdfs://host/folder")
