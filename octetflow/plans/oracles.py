@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from octetflow.functions.digests import OFFSET, PRIME
 from octetflow.operators.chunking import GEAR
-from octetflow.plans.queries import BLOCK, K, LEVELS, N
+from octetflow.plans.queries import BLOCK, K, KEY, LEVELS, N
 
 _PATH = "coalesce(lang, '') || '/' || doc_id || '.txt'"
 _F = f"f AS (SELECT doc_id, folder, folder || '/' || {_PATH} AS relative_path, text, strlen(text)::BIGINT AS size FROM (SELECT doc_id, lang, coalesce(source, '') AS folder, coalesce(text, '') AS text FROM documents))"
@@ -20,6 +20,11 @@ def _fold(items: str) -> str:
     return f"list_reduce({items}, lambda h, b: xor(h, b) * {PRIME} % 18446744073709551616, {OFFSET}::UHUGEINT)"
 
 
+def _pad(mask: int) -> str:
+    """The key under a mask, as HMAC puts it before its text: a key of 32 bytes fills half a block of SHA-256."""
+    return f"unhex('{bytes(k ^ mask for k in KEY.ljust(64, bytes(1))).hex()}')"
+
+
 def _hex16(value: str) -> str:
     return f"lpad(lower(hex(({value})::UBIGINT)), 16, '0')"
 
@@ -133,6 +138,10 @@ h AS (SELECT *, CASE WHEN grey THEN (width + 3) // 4 * 4 ELSE (width + 31) // 32
     # 14 bytes, 11 and its name for each of the eight fields, and the values' bits: length, name, three flags, version, no XXH3, SHA-256
     "header_size": f"""WITH {_F} SELECT doc_id, 14 + 8 * 11 + strlen('binary_length' || 'filename' || 'encrypted' || 'v' || 'compress' || 'pack' || 'hash' || 'SHA')
 + (greatest(1, length(bin(8 * size))) + 8 * strlen({_NAME}) + 3 + 24 + 512 + 7) // 8 AS header_bytes FROM f""",
+    "hash_hmac": f"WITH {_F} SELECT doc_id, sha256({_pad(0x5C)} || unhex(sha256({_pad(0x36)} || encode(text)))) AS hmac FROM f",
+    "name_numbers": """SELECT doc_id, coalesce(source, '') AS folder_name, TRY_CAST(substr(source, 4) AS BIGINT) AS number, NULL::BIGINT AS no_number, -doc_id AS negative,
+        round(size::DOUBLE / n_chars, 9) AS ratio, round(100 * (1 - n_chars::DOUBLE / size), 9) AS reduction, round(100 * (size::DOUBLE / n_chars - 1), 9) AS expansion
+        FROM (SELECT *, strlen(coalesce(text, '')) AS size FROM documents)""",
     "encode_roundtrip": f"WITH {_F} SELECT doc_id, {_NAME} AS filename, {_SHA} AS sha256, TRUE AS hash_ok, TRUE AS sha_ok, TRUE AS crc_ok, TRUE AS verified, TRUE AS compressed FROM f",
     "decode_damaged": f"WITH {_F} SELECT doc_id, FALSE AS hash_ok, FALSE AS sha_ok, FALSE AS crc_ok, FALSE AS verified FROM f WHERE size > 0",
     "block_fnv": f"WITH {_F} SELECT relative_path, {_fnv('text')} AS fnv, greatest(1, (size + {BLOCK - 1}) // {BLOCK}) AS blocks, size FROM f",

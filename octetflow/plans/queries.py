@@ -54,6 +54,21 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("doc_id", "relative_path", "size", digests.sha256(c).alias("sha256"), digests.crc32(c).alias("crc32"), digests.fnv(c).alias("fnv"))
 
 
+def hash_hmac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(files(spark, sf_dir)).select("doc_id", digests.hmac_sha256(F.col("content"), KEY).alias("hmac"))
+
+
+def name_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with and without a trailing slash, numbers that are numbers throughout or none, and ratios of sizes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    size, chars, source = F.octet_length(F.coalesce("text", F.lit(""))).cast("long"), F.col("n_chars"), F.coalesce("source", F.lit(""))
+    return docs.select(
+        "doc_id", names.basename(F.concat(F.lit("/data/"), source, F.lit("/"))).alias("folder_name"), names.strict_int(F.substring(source, 4, 9)).alias("number"), names.strict_int(source).alias("no_number"),
+        names.strict_int(F.concat(F.lit("-"), F.col("doc_id").cast("string"))).alias("negative"), F.round(names.ratio(size, chars), 9).alias("ratio"),
+        F.round(names.reduction_percent(size, chars), 9).alias("reduction"), F.round(names.expansion_percent(chars, size), 9).alias("expansion"),
+    )
+
+
 def hash_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("doc_id", digests.sha256(F.col("content")).alias("sha256"))
 
@@ -292,7 +307,7 @@ def shares_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL: list[Callable[[SparkSession, str], DataFrame]] = [
     file_digests, hash_sha256, hash_crc32, hash_fnv1a, hash_xxh3, hash_blake2b, folder_listing, folder_digest, folder_compare, folder_summary, folder_only_left, folder_only_right,
     folder_common, folder_identical, folder_report, path_names, metadata_json, archive_layout, archive_pieces, pack_roundtrip, zip_roundtrip, format_detect, compress_roundtrip,
-    compress_stats, chunk_cuts, chunk_dedup, diff_ops, patch_size, patch_roundtrip, patch_commands, bmp_geometry, header_size, encode_roundtrip, decode_damaged, block_fnv, block_shares, gf256_table,
+    hash_hmac, name_numbers, compress_stats, chunk_cuts, chunk_dedup, diff_ops, patch_size, patch_roundtrip, patch_commands, bmp_geometry, header_size, encode_roundtrip, decode_damaged, block_fnv, block_shares, gf256_table,
     share_sizes, integrate_roundtrip, shares_agree,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
