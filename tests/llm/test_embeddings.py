@@ -86,3 +86,21 @@ def test_recall_at_the_threshold_of_large_tables():
             pairs = [set(zip(*(x.tolist() for x in code.decode(v[lo : lo + 10])), strict=True)) for v in (a, b)]
             met += len({r for r, _ in pairs[0] & pairs[1]})
         assert met / n > 0.97
+
+
+def test_dense_clusters_are_counted_exactly_without_comparing_their_members(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal(24)
+    x = np.concatenate([centre + 0.05 * rng.standard_normal((3000, 24)), centre + 0.55 * rng.standard_normal((300, 24)), rng.standard_normal((200, 24))]).astype(np.float32).astype(float)
+    near, root = brute(x)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in near_embeddings(df, cell=256).collect()}
+    n = np.array([got[i].n_links for i in range(len(x))])
+    assert (n <= near.sum(1)).all() and (n[:3000] >= 2999).all() and n.sum() >= 0.99 * near.sum()
+    assert np.mean([got[i].component_id == root[i] for i in got]) > 0.99
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(1, [1e300, 0.0]), (2, [1e-300, 0.0]), (3, [5e-324, 0.0]), (4, [0.0, 1e308])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
