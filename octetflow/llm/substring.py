@@ -162,6 +162,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     partly = partly.select(F.col("id").alias("m_id"), F.col("lo").alias("m_lo"), "late")
     known = runs.select("b1", "b2", F.col("m.id").alias("m_id"), F.col("m.lo").alias("m_lo"), "n").join(partly, ["m_id", "m_lo"], "left")
     known = scratch.write(known.filter("n > 1 or late is not null"))
+    scratch.drop(runs, several, open_, windows, least)
     hits = lookup(seeds.select("b1", "b2", "id", "lo", "hi"), known.drop("m_lo"), ["b1", "b2"], "n", seeds.count())
     whole = hits.filter("id > m_id").select("id", "lo", "hi")
     part = hits.filter("id = m_id and late is not null").select("id", F.explode(F.transform("late", lambda x: F.col("lo") + x)).alias("lo")).select("id", "lo", F.col("lo").alias("hi"))
