@@ -20,6 +20,8 @@ BASE = ["email", "ip", "card", "phone"]
 KINDS = [*BASE, "secret"]
 #: Tokens of a segment, at most (bounded entities; a token has any length), and training sentences; the model is the same for every input.
 TOKENS, SENTENCES, SEED = 8, 1500, 11
+#: Code points before a candidate that its features can see: 24 to the end of a cue, and the longest cue.
+CONTEXT = 64
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -72,6 +74,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _RUN = re.compile(r"(?<![0-9A-Za-z])[0-9]++(?:[().\x20/-]{1,3}+[0-9]++)*+")
 _GROUP = re.compile(r"[0-9]++")
 _AT = re.compile(r"@|\(at\)|\[at\]|\{at\}|(?<=\s)at(?=\s)", re.I)
+_AT_WORD = re.compile(r"[(\[{\s][Aa][Tt][)\]}\s]")
 _DOT = r"(?:\(dot\)|\[dot\]|\{dot\}|(?<=\s)dot(?=\s)|\.)"
 _LABEL = re.compile(r"\s?([A-Za-z0-9-]++)")
 _DOTS = re.compile(r"\s?" + _DOT, re.I)
@@ -97,7 +100,7 @@ def _is_ip(s: str) -> bool:
 def _mail_candidates(text: str) -> list[tuple[int, int]]:
     """Around each mark that can stand for @: local parts from one token to the bound before it, domains from two labels to the bound behind it."""
     out, done = [], 0
-    for m in _AT.finditer(text):
+    for m in _AT.finditer(text) if "@" in text or _AT_WORD.search(text) else ():
         lo = m.start() - (text[m.start() - 1 : m.start()].isspace())
         starts = []
         while len(starts) < TOKENS:
@@ -130,9 +133,11 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> np.ndarray:
     parts: list[tuple[np.ndarray, np.ndarray, int]] = []
     add = lambda spans, kind: parts.append((*np.array(spans, np.int64).reshape(-1, 2).T, kind))
     add(_mail_candidates(text), 0)
-    colons = [(m.start(), m.end() - (m.group()[-1] == ":" and m.group()[-2] != ":")) for m in _COLONS.finditer(text)]
+    signs = ":" in text or "=" in text
+    colons = [] if not signs else [(m.start(), m.end() - (m.group()[-1] == ":" and m.group()[-2] != ":")) for m in _COLONS.finditer(text)]
     add([(lo, hi) for lo, hi in colons if hi - lo < 40 and _is_ip(text[lo:hi])], 1)
-    add([m.span() for m in _LONG.finditer(text)] + [(m.start(1), m.start(1) + max(1, len(m[1].rstrip(",.;:)]")))) for m in _KEYED.finditer(text)], 4)
+    add([m.span() for m in _LONG.finditer(text)], 4)
+    add([(m.start(1), m.start(1) + max(1, len(m[1].rstrip(",.;:)]")))) for m in _KEYED.finditer(text)] if signs else [], 4)
     groups, runs = [], []
     for k, m in enumerate(_RUN.finditer(text)):
         if m.end() - m.start() > 6:
@@ -151,6 +156,8 @@ def candidates(text: str, taken: list[tuple[int, int]]) -> np.ndarray:
             lo, hi, n = (g[: len(ok), 0] - lead[: len(ok)])[ok], g[w - 1 :, 1][ok], n[ok]
             for kind, least, most in ((3, 7, 15), (2, 12, 19)):
                 parts.append((lo[(n >= least) & (n <= most)], hi[(n >= least) & (n <= most)], kind))
+    if not any(len(lo) for lo, _, _ in parts):
+        return np.zeros((0, 3), np.int64)
     out = np.concatenate([np.column_stack([lo, hi, np.full(len(lo), kind)]) for lo, hi, kind in parts]).astype(np.int64)
     if len(taken) and len(out):
         starts, ends = np.array(taken).T
@@ -183,7 +190,6 @@ class Features:
         twice = np.where(d > 4, 2 * d - 9, 2 * d)
         even = np.arange(len(d)) % 2 == 0
         self.luhn = [run(np.where(even, d, twice)), run(np.where(even, twice, d))]  # by the parity of the last digit's place
-        self.at = np.array([m.start() for m in _AT.finditer(text)], np.int64)
         self.cues = [np.array([m.end() for m in cue.finditer(text)], np.int64) for cue in _CUES]
 
     def _digit_near(self, at: np.ndarray, step: int) -> np.ndarray:
@@ -390,18 +396,24 @@ class Field:
     def __init__(self):
         self.weights, self.moves = np.zeros((len(KINDS), len(FEATURES))), np.zeros((len(KINDS) + 1,) * 2)
 
-    def scores(self, text: str, cands: np.ndarray) -> list[float]:
-        features, out = Features(text), []
-        for lo in range(0, len(cands), 16384):
-            part = cands[lo : lo + 16384]
-            out += (features(part) * self.weights[part[:, 2]]).sum(1).tolist()
+    def scores(self, text: str, cands: np.ndarray) -> np.ndarray:
+        """Stretches of the text around candidates are looked at one by one; features reach no further than ``CONTEXT`` to the left and a few signs to the right."""
+        order, out = np.argsort(cands[:, 0], kind="stable"), np.zeros(len(cands))
+        lo, reach = cands[order, 0], np.maximum.accumulate(cands[order, 1])
+        cuts = np.r_[0, np.flatnonzero(lo[1:] - CONTEXT > reach[:-1] + 8) + 1, len(order)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            start = max(0, int(lo[a]) - CONTEXT)
+            features = Features(text[start : int(reach[b - 1]) + 8])
+            for k in range(a, b, 16384):
+                part = cands[order[k : min(b, k + 16384)]]
+                out[order[k : min(b, k + 16384)]] = (features(part - [start, start, 0]) * self.weights[part[:, 2]]).sum(1)
         return out
 
     def find(self, text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         cands = candidates(text, taken)
         if not len(cands):
             return []
-        scores, m = np.array(self.scores(text, cands)), self.moves
+        scores, m = self.scores(text, cands), self.moves
         gain = np.array([(m[:, [k]] + m[[k], :] - m[:, [-1]] - m[[-1], :]).max() for k in range(len(KINDS))])
         worth = scores + gain[cands[:, 2]] > 0  # without the others no labelling is worse, whatever stands beside them
         cands, scores = cands[worth], scores[worth].tolist()

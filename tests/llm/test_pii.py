@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from octetflow.llm.pii import BASE, KINDS, Lattice, _sentence, base_spans, field_of, find_pii, find_spans, luhn, mask_pii
+from octetflow.llm.pii import BASE, KINDS, Features, Lattice, _sentence, base_spans, candidates, field_of, find_pii, find_spans, luhn, mask_pii
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -166,3 +166,11 @@ def test_tables(spark):
     secret = "aB3" * 3000
     masked = mask_pii(spark.createDataFrame([(1, f"token = '{secret}' end", "x")], "doc_id long, text string, found string")).first().text
     assert masked == "token = '<secret>' end"
+
+
+def test_stretches_see_what_the_whole_text_shows():
+    r = random.Random(12)
+    text = ("plain words without anything to find here, " * 8).join(_sentence(r)[0] for _ in range(12))
+    cands = candidates(text, [])
+    whole = (Features(text)(cands) * field_of().weights[cands[:, 2]]).sum(1)
+    assert len(cands) > 20 and np.allclose(field_of().scores(text, cands), whole)
