@@ -88,50 +88,87 @@ def _sets(shingle: int):
     return run
 
 
+def _near_counters(sig: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the pairs (x, y) sizes and counters do not rule out. The counters' differences add up to no more than the sets' symmetric difference."""
+    most = (1 - similarity) / (1 + similarity) * (n[x] + n[y]) + 1e-6
+    ok = np.flatnonzero(np.abs(n[x] - n[y]) <= most)
+    keep = [ok[lo : lo + 65536][np.abs(sig[x[ok[lo : lo + 65536]]] - sig[y[ok[lo : lo + 65536]]]).sum(1) <= most[ok[lo : lo + 65536]]] for lo in range(0, len(ok), 65536)]
+    return np.concatenate(keep) if keep else ok
+
+
+def _counters(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), COUNTERS).astype(np.int16)
+
+
+def _sifted(similarity: float):
+    """Pairs (a, b, na, nb, sa, sb) to those (a, b) that sizes and counters leave."""
+
+    def run(batches):
+        for batch in batches:
+            if m := batch.num_rows:
+                sig = np.concatenate([_counters(batch.column(4)), _counters(batch.column(5))])
+                n = np.concatenate([batch.column(2).to_numpy(), batch.column(3).to_numpy()]).astype(np.int64)
+                keep = pa.array(_near_counters(sig, n, np.arange(m), np.arange(m) + m, similarity))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+
+    return run
+
+
 def _candidates(similarity: float):
-    """Rows sorted by (token, i, j): pairs of texts of different roots that sizes and counters do not rule out. The counters' differences add up to no more than the sets'."""
-    names = ["token", "i", "j", "part", "id", "root", "n", "sig"]
-
-    def pairs(g: dict):
-        part, ids, root, n = (np.array(g[k], np.int64) for k in ("part", "id", "root", "n"))
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(ids), -1).astype(np.int16)
-        left, right = np.flatnonzero(part == g["i"][0]), np.flatnonzero(part == g["j"][0])
-        for lo in range(0, len(left), 64):
-            a = left[lo : lo + 64]
-            most = (1 - similarity) / (1 + similarity) * (n[a][:, None] + n[right][None, :])
-            ok = (np.abs(n[a][:, None] - n[right][None, :]) <= most + 1e-6) & (root[a][:, None] != root[right][None, :])
-            x, y = np.nonzero(ok)
-            near = np.abs(sig[a][x] - sig[right][y]).sum(1) <= most[x, y] + 1e-6
-            u, v = ids[a[x[near]]], ids[right[y[near]]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+    """Rows sorted by (token, i, j): pairs of texts of different roots that sizes and counters leave."""
+
+    def pairs(table: pa.Table):
+        token, i, j, part, ids, root, n = (table.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j", "part", "id", "root", "n"))
+        sig = _counters(table.column("sig").combine_chunks())
+        start = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        size = np.diff(np.r_[start, len(token)])
+        group, small = np.repeat(np.arange(len(size)), size), np.repeat(size <= 32, size)
+
+        def emit(x, y):
+            ok = (root[x] != root[y]) & ((i[x] == j[x]) | (part[x] != part[y]))
+            x, y = x[ok], y[ok]
+            keep = _near_counters(sig, n, x, y, similarity)
+            u, v = ids[x[keep]], ids[y[keep]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+
+        for shift in range(1, int(size[size <= 32].max(initial=1))):  # each row of a small cell with the one that is shift further on, all cells at once
+            x = np.flatnonzero((group[shift:] == group[:-shift]) & small[shift:])
+            yield emit(x, x + shift)
+        for g in np.flatnonzero(size > 32).tolist():
+            rows = np.arange(start[g], start[g] + size[g])
+            for lo in range(0, len(rows), 64):
+                x, y = (m.ravel() for m in np.meshgrid(rows[lo : lo + 64], rows[lo:], indexing="ij"))
+                yield emit(x[x < y], y[x < y])
 
     def run(batches):
-        wait, key = None, None
+        wait = None
         for batch in batches:
-            keys = list(zip(*(batch.column(names.index(c)).to_pylist() for c in ("token", "i", "j")), strict=True))
-            lo = 0
-            for k in [x for x in range(1, len(keys)) if keys[x] != keys[x - 1]] + [len(keys)]:
-                if k > lo:
-                    part = batch.slice(lo, k - lo).to_pydict()
-                    if keys[lo] == key:
-                        for c in names:
-                            wait[c] += part[c]
-                    else:
-                        if wait:
-                            yield from pairs(wait)
-                        wait, key = part, keys[lo]
-                lo = k
-        if wait:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if wait is None else pa.concat_tables([wait, pa.Table.from_batches([batch])])
+            keys = [table.column(c).to_numpy() for c in ("token", "i", "j")]
+            last = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on
+            if cut:
+                yield from pairs(table.slice(0, cut))
+            wait = table.slice(cut)
+        if wait is not None:
             yield from pairs(wait)
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b) those whose sets are that similar."""
+def _verified(pairs: DataFrame, named: DataFrame, scratch: Scratch, similarity: float, shingle: int) -> DataFrame:
+    """Of pairs (a, b) those whose sets are that similar. Sets are made anew, of the texts that are in a pair only."""
+    pairs = scratch.write(pairs.distinct())
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = named.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).mapInArrow(_sets(shingle), "id long, sh array<long>")
+    sets = scratch.write(sets)
     x, y = sets.select(F.col("id").alias("a"), F.col("sh").alias("x")), sets.select(F.col("id").alias("b"), F.col("sh").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(x, "a").join(y, "b").filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
+    out = scratch.write(pairs.join(x, "a").join(y, "b").filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b"))
+    scratch.drop(pairs, sets)
+    return out
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, cell: int = CELL) -> DataFrame:
@@ -161,26 +198,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield from _prefixes(shingle, similarity, source.value)(batches)
 
     tokens = scratch.write(named.select("text").mapInArrow(prefixes, "token long, node long"))
-    shared = scratch.write(tokens.groupBy("token").agg(F.min("node").alias("n0"), F.max("node").alias("n1"), F.count("*").alias("k")).filter("n0 < n1").select("token", "k"))
-    meet = lookup(tokens, shared, "token", "k", shared.agg(F.sum("k")).first()[0] or 0).select("token", "node").distinct()
-    placed = scratch.write(meet.join(nodes.select("node", "id"), "node").select("token", "id"))
-    leads = scratch.write(placed.groupBy("token").agg(F.min("id").alias("least"), F.count("*").alias("k")))
+    shared = scratch.write(tokens.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1"))
+    meet = scratch.write(lookup(tokens, shared, "token", "k", shared.agg(F.sum("k")).first()[0] or 0).select("token", "node").distinct())
     scratch.drop(tokens, shared)
+    placed = scratch.write(meet.join(nodes.select("node", "id"), "node").select("token", "id"))
+    scratch.drop(meet)
+    leads = scratch.write(placed.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("k")).filter("least < most").select("token", "least", "k"))
 
     by_print = nodes.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("k"))
     first = by_print.select("fp", "least")
     links = near_pairs(by_print)
     across = links.join(first.withColumnRenamed("fp", "a").withColumnRenamed("least", "x"), "a").join(first.withColumnRenamed("fp", "b").withColumnRenamed("least", "y"), "b").select("x", "y")
     within = lookup(nodes.select("fp", "id"), by_print.filter("k > 1"), "fp", "k", nodes.count()).select(F.col("least").alias("x"), F.col("id").alias("y"))
-    stars = lookup(placed, leads, "token", "k", placed.count()).select(F.col("least").alias("x"), F.col("id").alias("y"))
+    stars = lookup(placed, leads, "token", "k", leads.agg(F.sum("k")).first()[0] or 0).select(F.col("least").alias("x"), F.col("id").alias("y"))
     early = across.union(within).union(stars).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
-    sizes = nodes.select("id", "n")
-    near = F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9
-    early = early.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b").filter(near).select("a", "b")
-    early = scratch.write(early)
-    play = early.select(F.col("a").alias("id")).union(early.select("b")).union(placed.select("id")).distinct()
-    sets = scratch.write(named.join(play, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).mapInArrow(_sets(shingle), "id long, sh array<long>"))
-    one = scratch.write(_verified(early, sets, similarity))
+    ends = lambda c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
+    early = early.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sifted(similarity), "a long, b long")
+    one = _verified(early, named, scratch, similarity, shingle)
     roots = scratch.write(connected_components(one, scratch))
 
     info = nodes.select("id", "n", "sig").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -190,11 +224,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = F.ceil(F.col("k") / F.lit(cell)).cast("int")
     open_ = open_.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
     open_ = open_.select("token", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "id", "root", "n", "sig")
-    late = open_.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_candidates(similarity), "a long, b long").distinct()
-    two = _verified(scratch.write(late), sets, similarity)
+    late = open_.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_candidates(similarity), "a long, b long")
+    two = _verified(late, named, scratch, similarity, shingle)
     links = scratch.write(one.union(two))
     roots = scratch.write(connected_components(links, scratch))
-    scratch.drop(placed, leads, early, sets, one, links, counts)
+    scratch.drop(placed, leads, one, two, links, counts)
 
     return _grouped(rows, base, nodes, roots, scratch, id_col)
 
