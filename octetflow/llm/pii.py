@@ -23,7 +23,6 @@ TOKENS, SENTENCES, SEED = 8, 1500, 11
 #: Code points before a candidate that its features can see: 24 to the end of a cue, and the longest cue.
 CONTEXT = 64
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # After a digit no match can start that the digit's own start did not offer, so the look-behind changes no match; it keeps long runs linear.

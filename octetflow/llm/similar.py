@@ -22,10 +22,6 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
 
-def overlap_needed(n: int, m: int, similarity: float) -> float:
-    return similarity / (1 + similarity) * (n + m)
-
-
 def _sketch(shingle: int):
     """(id, text) to what is kept of every text: SimHash, a 128-bit digest of its set, the set's size, and counters of the set by the hashes' first bits. At its end a task adds
     rows (slot, k) for the slots of shingles that it met far more often than others: a table of fixed size that tells frequent shingles from rare ones."""

@@ -14,7 +14,6 @@ from octetflow.llm.common import Scratch, lookup, table
 
 WINDOW, GRAM = 50, 16
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-_MASK = 2**64 - 1
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
