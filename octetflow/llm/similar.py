@@ -15,6 +15,8 @@ from octetflow.llm.simhash import fold_hashes, near_pairs, shingle_hashes
 SIMILARITY, SHINGLE = 0.8, 5
 #: Counters of a text's signature, slots of the table of frequent shingles, and rows of a shingle in one cell; fuller shingles are cut into cells of two such parts.
 COUNTERS, SLOTS, CELL = 64, 1 << 20, 512
+#: Counters of a finer signature, by which pairs are sifted before sets travel: of long texts few counters say little.
+FINE = 512
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -25,28 +27,33 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 def _sketch(shingle: int):
     """(id, text) to what is kept of every text: SimHash, a 128-bit digest of its set, the set's size, and counters of the set by the hashes' first bits. At its end a task adds
     rows (slot, k) for the slots of shingles that it met far more often than others: a table of fixed size that tells frequent shingles from rare ones."""
-    names = ["id", "fp", "digest", "node", "n", "sig", "slot", "k"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
+    names = ["id", "fp", "digest", "node", "n", "sig", "fine", "slot", "k"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
 
     def run(batches):
         seen = np.zeros(SLOTS, np.int64)
         for batch in batches:
-            fp, digest, n, sig = [], [], [], []
+            fp, digest, n, sig, fine = [], [], [], [], []
             for t in batch.column(1):
                 h = shingle_hashes(t.as_py(), shingle)
                 own = np.unique(h)
                 np.add.at(seen, _slot(own), 1)
                 fp.append(fold_hashes(h)), digest.append(xxhash.xxh3_128_digest(own.tobytes())), n.append(len(own))
-                sig.append(np.minimum(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=COUNTERS), 255).astype(np.uint8).tobytes())
-            columns = [batch.column(0), np.array(fp, np.uint64).view(np.int64), digest, list(map(_node, digest)), n, sig, [None] * len(n), [None] * len(n)]
+                sig.append(_count(own, COUNTERS)), fine.append(_count(own, FINE))
+            columns = [batch.column(0), np.array(fp, np.uint64).view(np.int64), digest, list(map(_node, digest)), n, sig, fine, [None] * len(n), [None] * len(n)]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
         often = np.flatnonzero(seen > 4 * seen.mean() + 8)
-        columns = [[None] * len(often)] * 6 + [often, seen[often]]
+        columns = [[None] * len(often)] * 7 + [often, seen[often]]
         yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
 
     return run
 
 
+def _count(own: np.ndarray, counters: int) -> bytes:
+    at = (own >> np.uint64(64 - counters.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=counters), 255).astype(np.uint8).tobytes()
+
+
 def _slot(h: np.ndarray) -> np.ndarray:
     return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 20)).astype(np.int64)
 
@@ -93,7 +100,7 @@ def _near_counters(sig: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray,
 
 
 def _counters(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), COUNTERS).astype(np.int16)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1).astype(np.int16)
 
 
 def _sifted(similarity: float):
@@ -154,9 +161,18 @@ def _candidates(similarity: float):
     return run
 
 
-def _verified(pairs: DataFrame, named: DataFrame, scratch: Scratch, similarity: float, shingle: int) -> DataFrame:
+def _sift(pairs: DataFrame, nodes: DataFrame, signature: str, similarity: float) -> DataFrame:
+    ends = lambda c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col(signature).alias(f"s{c}"))
+    both = pairs.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    return both.mapInArrow(_sifted(similarity), "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, named: DataFrame, scratch: Scratch, similarity: float, shingle: int) -> DataFrame:
     """Of pairs (a, b) those whose sets are that similar. Sets are made anew, of the texts that are in a pair only."""
     pairs = scratch.write(pairs.distinct())
+    known = scratch.write(_sift(pairs, nodes, "fine", similarity))
+    scratch.drop(pairs)
+    pairs = known
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = named.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")).mapInArrow(_sets(shingle), "id long, sh array<long>")
     sets = scratch.write(sets)
@@ -181,10 +197,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(spark, "similar")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     named = rows.filter("id is not null")
-    sketched = scratch.write(named.mapInArrow(_sketch(shingle), "id long, fp long, digest binary, node long, n int, sig binary, slot int, k long"))
+    sketched = scratch.write(named.mapInArrow(_sketch(shingle), "id long, fp long, digest binary, node long, n int, sig binary, fine binary, slot int, k long"))
     slots = sketched.filter("slot is not null").groupBy("slot").agg(F.sum("k").alias("k")).toArrow()  # SLOTS rows at most
     base = sketched.filter("slot is null")
-    nodes = base.groupBy("digest").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("rows"))
+    nodes = base.groupBy("digest").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("fine").alias("fine"), F.count("*").alias("rows"))
     nodes = scratch.write(nodes)
     rank = np.zeros(SLOTS, np.int64)
     rank[slots.column("slot").to_numpy()] = slots.column("k").to_numpy()
@@ -208,9 +224,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     within = lookup(nodes.select("fp", "id"), by_print.filter("k > 1"), "fp", "k", nodes.count()).select(F.col("least").alias("x"), F.col("id").alias("y"))
     stars = lookup(placed, leads, "token", "k", leads.agg(F.sum("k")).first()[0] or 0).select(F.col("least").alias("x"), F.col("id").alias("y"))
     early = across.union(within).union(stars).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
-    ends = lambda c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-    early = early.join(ends("a"), "a").join(ends("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_sifted(similarity), "a long, b long")
-    one = _verified(early, named, scratch, similarity, shingle)
+    one = _verified(_sift(early, nodes, "sig", similarity), nodes, named, scratch, similarity, shingle)
     roots = scratch.write(connected_components(one, scratch))
 
     info = nodes.select("id", "n", "sig").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -221,7 +235,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_ = open_.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
     open_ = open_.select("token", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "id", "root", "n", "sig")
     late = open_.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_candidates(similarity), "a long, b long")
-    two = _verified(late, named, scratch, similarity, shingle)
+    two = _verified(late, nodes, named, scratch, similarity, shingle)
     links = scratch.write(one.union(two))
     roots = scratch.write(connected_components(links, scratch))
     scratch.drop(placed, leads, one, two, links, counts)
