@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from octetflow.llm import similar
 from octetflow.llm.similar import similar_groups
 
 SCHEMA = "doc_id long, text string, fp string, component_id string, token string"
@@ -68,3 +70,36 @@ def test_edges(spark):
     rows = [(None, "a b c", None, None, None), (7, "a b c", None, None, None), (7, "a b c", None, None, None), (3, "A B C", None, None, None), (8, "Word " * 100_000, None, None, None)]
     got = sorted(((r.doc_id, r.component_id, r.group_size) for r in similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted([(None, None, None), (7, 3, 3), (7, 3, 3), (3, 3, 3), (8, 8, 1)], key=str)
+
+
+@pytest.mark.parametrize("room", [similar.ROOM, 2000])
+def test_a_large_group_makes_no_table_of_its_pairs(spark, monkeypatch, room):
+    """Copies of a text that is not there itself, about as far from each other as the similarity allows: some pairs are links, most nearly are."""
+    r = random.Random(3)
+    base, rows, written, write = [f"w{r.randrange(4000)}" for _ in range(200)], [], [], similar.Scratch.write
+    for i in range(400):
+        text = list(base)
+        for _ in range(3):
+            text[r.randrange(len(text))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(text), "c", "c", "c"))
+
+    def counted(self, df, *more):
+        out = write(self, df, *more)
+        if out.columns == ["a", "b"]:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar.Scratch, "write", counted)
+    monkeypatch.setattr(similar, "ROOM", room)
+    got = {r.doc_id: r.component_id for r in similar_groups(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = brute([(i, t) for i, t, *_ in rows])
+    assert got == want and 1 < len(set(want.values())) < 300
+    assert max(written) < 20 * len(rows)
+
+
+def test_overlaps(monkeypatch):
+    monkeypatch.setattr(similar, "_CHUNK", 10)
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 30, n)).astype(np.uint64) for n in (3, 0, 40, 8, 0, 1, 25)]
+    for own in sets:
+        assert similar._overlaps(own, sets).tolist() == [len(np.intersect1d(own, s)) for s in sets]
