@@ -13,8 +13,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from octetflow.functions import chacha, gf256
+from octetflow.functions.batches import lengths, stretches
 from octetflow.functions.digests import key_bytes, mac_key
 from octetflow.operators.folds import fnv_in_order
 from octetflow.operators.shares import payloads
@@ -90,14 +92,17 @@ def disperse(blocks: DataFrame, n: int, k: int, key: bytes, nonce: bytes, size:
     if size % (64 * k):
         raise ValueError("blocks must hold a multiple of 64 k bytes")
 
-    def run(no, data):
-        items = data.to_pylist()
-        made = payloads(items, n, k, key, [nonce] * len(items), [b * size // 64 for b in no.to_pylist()])
-        out = [[{"share_id": i + 1, "bytes": p} for i, p in enumerate(parts)] for parts in made]
-        return pa.array(out, pa.list_(pa.struct([("share_id", pa.int32()), ("bytes", pa.binary())])))
-
-    made = F.arrow_udf(run, "array<struct<share_id:int,bytes:binary>>")("block_no", "bytes")
-    return blocks.select("path", "block_no", F.explode(made).alias("s")).select("path", "s.share_id", "block_no", "s.bytes")
+    def run(batches):
+        for batch in batches:
+            paths, no, data = batch.columns
+            for lo, hi in stretches(lengths(data) * n // k + n * 512):
+                items, at = data.slice(lo, hi - lo).to_pylist(), pa.array(np.repeat(np.arange(lo, hi), n))
+                made = payloads(items, n, k, key, [nonce] * len(items), [b * size // 64 for b in no.slice(lo, hi - lo).to_pylist()])
+                ids = pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), hi - lo))
+                yield pa.RecordBatch.from_arrays([paths.take(at), ids, no.take(at), pa.array([p for parts in made for p in parts], pa.binary())], ["path", "share_id", "block_no", "bytes"])
+
+    rows = blocks.select("path", "block_no", "bytes")
+    return rows.mapInArrow(run, StructType([rows.schema[0], StructField("share_id", IntegerType()), *rows.schema[1:]]))
 
 
 def restore(parts: DataFrame, k: int, key: bytes, nonce: bytes, size: int, orig_size: int) -> DataFrame:

@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
+from octetflow.functions.batches import lengths, stretches
 from octetflow.functions.chacha import xchacha20_many
 from octetflow.functions.digests import mac_key, same
 from octetflow.functions.gf256 import inverse, join_secret, powers, product, split_secret
@@ -21,6 +23,10 @@ _KIND = pa.struct([("share_id", pa.int32()), ("k", pa.int32()), ("orig_size", pa
 SCHEMA = "struct<share_id:int,k:int,orig_size:bigint,nonce:binary,key_share:binary,hmac:binary,payload:binary>"
 
 
+def _fields() -> list[StructField]:
+    return list(StructType.fromDDL(SCHEMA.removeprefix("struct<").removesuffix(">")))
+
+
 def check(n: int, k: int) -> None:
     if not 1 <= k <= n <= 255:
         raise ValueError("1 <= k <= n <= 255 is needed")
@@ -112,20 +118,31 @@ def split_files(files: DataFrame, n: int, k: int, key: bytes, coefficients: byte
     check(n, k)
     own = F.col(nonce) if nonce else F.substring(F.unhex(F.sha2(F.concat(F.encode(path, "utf-8"), F.lit(b"\0"), F.col(content)), 256)), 1, 24)
 
-    def run(data, nonces):
-        return pa.array(split_many(data.to_pylist(), n, k, key, nonces.to_pylist(), coefficients), pa.list_(_KIND))
+    def run(batches):
+        for batch in batches:
+            paths, data, nonces = batch.columns
+            for lo, hi in stretches(lengths(data) * n // k + n * 512):  # a share has some hundred bytes beside its payload
+                made = split_many(data.slice(lo, hi - lo).to_pylist(), n, k, key, nonces.slice(lo, hi - lo).to_pylist(), coefficients)
+                fields = pa.array([s for parts in made for s in parts], _KIND).flatten()
+                yield pa.RecordBatch.from_arrays([paths.take(pa.array(np.repeat(np.arange(lo, hi), n))), *fields], [path, *FIELDS])
 
-    return files.select(path, F.explode(F.arrow_udf(run, f"array<{SCHEMA}>")(F.col(content), own)).alias("s")).select(path, "s.*")
+    rows = files.select(path, F.col(content), own.alias("nonce"))
+    return rows.mapInArrow(run, StructType([rows.schema[0], *_fields()]))
 
 
 def integrate_files(shares: DataFrame, path: str = "path", order: str = "share_id") -> DataFrame:
     """(path, content) from the first k shares of each file by ``order``. Shares that do not agree, too few, or damaged ones fail."""
 
-    def run(groups):
-        return pa.array(integrate_many([[s["s"] for s in sorted(g, key=lambda x: x["o"])] for g in groups.to_pylist()]), pa.binary())
+    def run(batches):
+        for batch in batches:
+            paths, sizes, groups = batch.columns
+            for lo, hi in stretches(sizes.to_numpy() + 512):
+                made = integrate_many([[s["s"] for s in sorted(g, key=lambda x: x["o"])] for g in groups.slice(lo, hi - lo).to_pylist()])
+                yield pa.RecordBatch.from_arrays([paths.slice(lo, hi - lo), pa.array(made, pa.binary())], [path, "content"])
 
-    grouped = shares.groupBy(path).agg(F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*FIELDS).alias("s"))).alias("g"))  # 255 shares at most
-    return grouped.select(path, F.arrow_udf(run, "binary")("g").alias("content"))
+    of = F.collect_list(F.struct(F.col(order).alias("o"), F.struct(*FIELDS).alias("s")))  # 255 shares at most
+    grouped = shares.groupBy(path).agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).cast("long").alias("size"), of.alias("g"))
+    return grouped.mapInArrow(run, StructType([grouped.schema[0], StructField("content", BinaryType())]))
 
 
 def consistent(shares: DataFrame, path: str = "path") -> DataFrame:

@@ -65,3 +65,27 @@ def test_tables(spark):
     assert sizes == {(r.path, r.share_id): (len(r.payload), len(r.payload) + 101) for r in made.collect()}
     with pytest.raises(Exception, match="3 shares are needed"):
         S.integrate_files(made.filter("share_id < 3")).collect()
+
+
+def test_a_full_batch_is_worked_on_in_stretches(spark, monkeypatch):
+    """However many files a batch holds, split, integrate and disperse give back a few at once."""
+    from pyspark.sql import functions as F
+
+    from octetflow.functions import batches
+    from octetflow.operators import blocks
+
+    assert list(batches.stretches(np.array([1, 1, 9, 0, 1, 1, 1]), 3)) == [(0, 2), (2, 3), (3, 7)] and list(batches.stretches(np.array([], int), 3)) == []
+    files = spark.range(40).coalesce(1).select(F.col("id").cast("string").alias("path"), F.expr("encode(repeat('x', 100000 + cast(id as int)), 'utf-8')").alias("content")).cache()
+
+    plain = type(files).mapInArrow
+    made = []
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, f, *a: made.append((self, f)) or plain(self, f, *a))
+    parts = S.split_files(files, 5, 3, KEY, coefficients(3))
+    back = S.integrate_files(parts)
+    spread = blocks.disperse(files.select("path", F.lit(0).cast("long").alias("block_no"), F.col("content").alias("bytes")), 5, 3, KEY, NONCE, 192 * 1000)
+    for rows, f in made:
+        whole = rows.toArrow().combine_chunks().to_batches()
+        sizes = [b.num_rows for b in f(iter(whole))]
+        assert len(whole) == 1 and len(sizes) > 1 and max(sizes) < sum(sizes), sizes
+    assert {r.path: len(r.content) for r in back.collect()} == {str(i): 100000 + i for i in range(40)}
+    assert spread.count() == parts.count() == 200
