@@ -6,18 +6,21 @@ import io
 import posixpath
 import struct
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from operator import and_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
+from octetflow.functions import batches
 from octetflow.functions.names import component_order
 from octetflow.plans.scratch import written
 
-_KIND = pa.list_(pa.struct([("idx", pa.int32()), ("relative_path", pa.string()), ("data_size", pa.int64()), ("data", pa.binary())]))
-_ROWS = "array<struct<idx:int,relative_path:string,data_size:bigint,data:binary>>"
+_ROWS = "idx int, relative_path string, data_size long, data binary"
 
 
 def layout(files: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -76,14 +79,52 @@ def _little(value: Column, width: int) -> Column:
     return F.unhex(F.concat(*(F.substring(digits, 2 * k + 1, 2) for k in reversed(range(width)))))
 
 
+class _Pack:
+    """An archive that grows by an entry at a time, given in component order."""
+
+    def __init__(self):
+        self.out, self.n = bytearray(4), 0
+
+    def add(self, path: str, data: bytes) -> None:
+        raw = path.encode()
+        self.out += struct.pack("<I", len(raw)) + raw + struct.pack("<Q", len(data))
+        self.out += data
+        self.n += 1
+
+    def done(self) -> bytearray:
+        self.out[:4] = struct.pack("<I", self.n)
+        return self.out
+
+
+class _Zip:
+    """A ZIP that grows by an entry at a time. Deflate 6; the date is fixed, so that equal entries give equal bytes."""
+
+    def __init__(self):
+        self.out = io.BytesIO()
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_DEFLATED, compresslevel=6)
+
+    def add(self, path: str, data: bytes) -> None:
+        self.zip.writestr(zipfile.ZipInfo(posixpath.normpath(path)), data, zipfile.ZIP_DEFLATED, 6)
+
+    def done(self) -> memoryview:
+        self.zip.close()
+        return self.out.getbuffer()
+
+
+def _made(kind: type[_Pack] | type[_Zip], entries: Iterable[tuple[str, bytes]]) -> bytearray | memoryview:
+    out = kind()
+    for path, data in entries:
+        out.add(path, data)
+    return out.done()
+
+
+def _components(path: str) -> list[bytes]:
+    return [p.encode() for p in path.split("/")]
+
+
 def pack_entries(entries: list[tuple[str, bytes]]) -> bytes:
     """Count, then for each entry path length, path, size and bytes; component order."""
-    ordered = sorted(entries, key=lambda e: [p.encode() for p in e[0].split("/")])
-    out = [struct.pack("<I", len(ordered))]
-    for path, data in ordered:
-        raw = path.encode()
-        out += [struct.pack("<I", len(raw)), raw, struct.pack("<Q", len(data)), data]
-    return b"".join(out)
+    return bytes(_made(_Pack, sorted(entries, key=lambda e: _components(e[0]))))
 
 
 def safe_path(path: str) -> str:
@@ -93,77 +134,184 @@ def safe_path(path: str) -> str:
     return path
 
 
-def unpack_entries(archive: bytes) -> list[tuple[str, bytes]]:
+def _read(archive: bytes | memoryview) -> Iterator[tuple[str, bytes]]:
     def take(n: int) -> bytes:
         nonlocal at
         if at + n > len(archive):
             raise ValueError("the archive is cut short")
         at += n
-        return archive[at - n : at]
+        return bytes(archive[at - n : at])
 
-    at, out = 0, []
+    at = 0
     for _ in range(struct.unpack("<I", take(4))[0]):
         path = safe_path(take(struct.unpack("<I", take(4))[0]).decode())
-        out.append((path, take(struct.unpack("<Q", take(8))[0])))
-    return out
+        yield path, take(struct.unpack("<Q", take(8))[0])
 
 
-def zip_entries(data: bytes) -> list[tuple[str, bytes]]:
-    """Files of a ZIP, directories left out, separators forward, in bytewise order of their names."""
+def unpack_entries(archive: bytes) -> list[tuple[str, bytes]]:
+    return list(_read(archive))
+
+
+def _read_zip(data: bytes | memoryview, key: Callable[[str], list[bytes]] | None = None) -> Iterator[tuple[str, bytes]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = [(i.filename.replace("\\", "/"), i) for i in z.infolist() if i.filename and not i.filename.endswith("/")]
-        return [(safe_path(n), z.read(i)) for n, i in sorted(names, key=lambda x: x[0].encode())]
+        names.sort(key=lambda x: x[0].encode())
+        if key:
+            names.sort(key=lambda x: key(x[0]))
+        for n, i in names:
+            yield safe_path(n), z.read(i)
+
+
+def zip_entries(data: bytes) -> list[tuple[str, bytes]]:
+    """Files of a ZIP, directories left out, separators forward, in bytewise order of their names."""
+    return list(_read_zip(data))
 
 
 def zip_write(entries: list[tuple[str, bytes]]) -> bytes:
     """Deflate 6; the date is fixed, so that equal entries give equal bytes."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=6) as z:
-        for name, data in entries:
-            z.writestr(zipfile.ZipInfo(posixpath.normpath(name)), data, zipfile.ZIP_DEFLATED, 6)
-    return out.getvalue()
+    return bytes(_made(_Zip, entries))
+
+
+# An archive on its way through a task is (the row's other columns, one value each; its bytes). Steps are generators of these and hold one archive at a time, however many a batch or a
+# task has. Steps that follow each other directly run in one Python worker: a frame that they made remembers how.
 
 
-def _gather(files: DataFrame, by: list[str], make, name: str) -> DataFrame:
-    def run(entries):
-        return pa.array([make([(e["relative_path"], e["content"]) for e in x]) for x in entries.to_pylist()], pa.binary())
+def _value(data) -> pa.Array:
+    """A column of one binary value, without a copy."""
+    if len(data) > 2**31 - 1:
+        raise ValueError("an archive of more than 2 GiB is no value: pieces, or volumes, are for these")
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, len(data)], np.int32)), pa.py_buffer(data)])
 
-    grouped = files.groupBy(*by).agg(F.collect_list(F.struct("relative_path", "content")).alias("e"))  # one archive, which one row must hold anyway
-    return grouped.select(*by, F.arrow_udf(run, "binary")("e").alias(name))
+
+def _gathering(by: int, kind: type):
+    """From rows (by, relative_path, content) sorted by all but the last: an archive for each value of ``by``. Without ``by``, the first row is no entry."""
+
+    def run(found):
+        own, key, out = None, None, None
+        for batch in found:
+            keys = list(zip(*(c.to_pylist() for c in batch.columns[:by]), strict=True)) if by else [()] * batch.num_rows
+            paths, data = batch.columns[by:]
+            for row, (k, path) in enumerate(zip(keys, paths.to_pylist(), strict=True)):
+                if out is None or k != key:
+                    if out is not None:
+                        yield own, out.done()
+                    own, key, out = [c.take(pa.array([row])) for c in batch.columns[:by]], k, kind()
+                    if not by:
+                        continue
+                out.add(path, data[row].as_py())
+        if out is not None:
+            yield own, out.done()
+
+    return run
+
+
+def _standing(at: int):
+    """Archives that are a column of the rows."""
+
+    def run(found):
+        for batch in found:
+            for row in range(batch.num_rows):
+                yield [c.take(pa.array([row])) for k, c in enumerate(batch.columns) if k != at], memoryview(batch.column(at)[row].as_buffer())
+
+    return run
+
+
+def _turning(f):
+    return lambda found: ((own, f(data)) for own, data in found)
+
+
+def _archives(names: list[str]):
+    def run(found):
+        for own, data in found:
+            yield pa.RecordBatch.from_arrays([*own, _value(data)], [*names, "archive"])
+
+    return run
+
+
+def _entries(names: list[str], read):
+    """A row an entry, in batches of few bytes."""
+
+    def rows(own, first, held):
+        n, paths, data = len(held), *map(list, zip(*held, strict=True))
+        parts = [pa.array(range(first, first + n), pa.int32()), pa.array(paths, pa.string()), pa.array(map(len, data), pa.int64()), pa.array(data, pa.binary())]
+        return pa.RecordBatch.from_arrays([*(c.take(pa.array(np.zeros(n, int))) for c in own), *parts], [*names, "idx", "relative_path", "data_size", "data"])
+
+    def run(found):
+        for own, data in found:
+            first, held, size = 0, [], 0
+            for path, value in read(data):
+                held.append((path, value))
+                size += len(value) + 512
+                if size > batches.STRETCH:
+                    yield rows(own, first, held)
+                    first, held, size = first + len(held), [], 0
+            if held:
+                yield rows(own, first, held)
+
+    return run
+
+
+def _way(archives: DataFrame) -> tuple:
+    """(frame that the worker reads, fields beside the archive, steps)"""
+    if way := archives.__dict__.get("_octet_way"):
+        return way
+    at = archives.columns.index("archive")
+    return archives, [f for k, f in enumerate(archives.schema) if k != at], (_standing(at),)
+
+
+def _frame(way: tuple, columns: list[str]) -> DataFrame:
+    source, fields, steps = way
+    out = _run(source, (*steps, _archives([f.name for f in fields])), [*fields, StructField("archive", BinaryType())])
+    out = out if out.columns == columns else out.select(*columns)
+    out._octet_way = way
+    return out
+
+
+def _run(source: DataFrame, steps: tuple, fields: list[StructField]) -> DataFrame:
+    return source.mapInArrow(lambda found: reduce(lambda x, step: step(x), steps, found), StructType(fields))
+
+
+def _gather(files: DataFrame, by: list[str], kind: type, order: Column) -> DataFrame:
+    rows = files.select(*by, "relative_path", "content")
+    if not by:  # one archive, also of nothing
+        rows = rows.unionByName(files.sparkSession.range(1).select(F.lit(None).cast("string").alias("relative_path"), F.lit(None).cast("binary").alias("content")))
+    dealt = (rows.repartition(*by) if by else rows.repartition(1)).sortWithinPartitions(*by, order)
+    return _frame((dealt, list(rows.schema)[: len(by)], (_gathering(len(by), kind),)), [*by, "archive"])
 
 
 def pack(files: DataFrame, by: list[str]) -> DataFrame:
     """(by, archive): one archive for each value of ``by``. ``files``: (by, relative_path, content). An archive is one value, of 2 GiB at most; for larger ones there
-    is ``pieces``."""
-    return _gather(files, by, pack_entries, "archive")
+    is ``pieces``. Rows are sorted and come to the archive one by one: a task holds the archive that it makes, however many it has to make."""
+    return _gather(files, by, _Pack, component_order(F.col("relative_path")))
 
 
 def zip_pack(files: DataFrame, by: list[str]) -> DataFrame:
-    return _gather(files, by, lambda e: zip_write(sorted(e, key=lambda x: x[0].encode())), "archive")
+    return _gather(files, by, _Zip, F.col("relative_path"))
 
 
 def _rows(archives: DataFrame, read) -> DataFrame:
-    def run(data):
-        return pa.array([[{"idx": k, "relative_path": p, "data_size": len(d), "data": d} for k, (p, d) in enumerate(read(x))] for x in data.to_pylist()], _KIND)
-
+    source, fields, steps = _way(archives)
     rest = [c for c in archives.columns if c != "archive"]
-    return archives.select(*rest, F.explode(F.arrow_udf(run, _ROWS)("archive")).alias("e")).select(*rest, "e.*")
+    return _run(source, (*steps, _entries([f.name for f in fields], read)), [*fields, *StructType.fromDDL(_ROWS)]).select(*rest, "idx", "relative_path", "data_size", "data")
 
 
 def unpack(archives: DataFrame) -> DataFrame:
     """A row an entry: idx, relative_path, data_size, data. Unsafe paths and truncated archives fail."""
-    return _rows(archives, unpack_entries)
+    return _rows(archives, _read)
 
 
 def zip_unpack(archives: DataFrame) -> DataFrame:
-    return _rows(archives, zip_entries)
+    return _rows(archives, _read_zip)
+
+
+def _turned(archives: DataFrame, f) -> DataFrame:
+    source, fields, steps = _way(archives)
+    return _frame((source, fields, (*steps, _turning(f))), archives.columns)
 
 
 def zip_to_archive(archives: DataFrame) -> DataFrame:
-    run = F.arrow_udf(lambda x: pa.array([pack_entries(zip_entries(d)) for d in x.to_pylist()], pa.binary()), "binary")
-    return archives.withColumn("archive", run("archive"))
+    return _turned(archives, lambda x: _made(_Pack, _read_zip(x, _components)))
 
 
 def archive_to_zip(archives: DataFrame) -> DataFrame:
-    run = F.arrow_udf(lambda x: pa.array([zip_write(unpack_entries(d)) for d in x.to_pylist()], pa.binary()), "binary")
-    return archives.withColumn("archive", run("archive"))
+    return _turned(archives, lambda x: _made(_Zip, _read(memoryview(x))))

@@ -97,3 +97,31 @@ def test_a_path_that_stands_twice_is_an_error(spark):
     for made in (A.volumes(df, ["folder"], 100), A.pieces(df, ["folder"])):
         with pytest.raises(Exception, match="more than once"):
             made.collect()
+
+
+def test_one_archive_at_a_time(spark):
+    """Steps take from a batch, or from sorted rows, what one archive needs, and run in one worker where they follow each other."""
+    import pyarrow as pa
+
+    taken = []
+
+    def rows():
+        for k in range(4):
+            taken.append(k)
+            yield pa.RecordBatch.from_pylist([{"by": k, "relative_path": p, "content": d} for p, d in sorted(ENTRIES)])
+
+    made = A._gathering(1, A._Zip)(rows())
+    assert sorted(A.zip_entries(bytes(next(made)[1]))) == sorted(ENTRIES) and taken == [0, 1] and len(list(made)) == 3
+
+    whole, turned = pa.RecordBatch.from_pylist([{"by": k, "archive": A.pack_entries(ENTRIES)} for k in range(4)]), []
+    one = A._turning(lambda x: turned.append(1) or x)(A._standing(1)(iter([whole])))
+    found = A._entries(["by"], A._read)(one)
+    assert next(found).num_rows == 4 and len(turned) == 1 and sum(b.num_rows for b in found) == 12
+
+    df = table(spark, [(f"{k}/x", bytes(2_000_000)) for k in range(6)])
+    back = A.zip_unpack(A.archive_to_zip(A.zip_to_archive(A.zip_pack(df, ["folder"]))))
+    assert back._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.idx, r.relative_path, len(r.data)) for r in back.collect()) == [(k, f"{k}/x", 2_000_000) for k in range(6)]
+    filtered = A.unpack(A.pack(df, ["folder"]).filter("folder = 'f'").withColumn("more", F.lit(7)))  # a step of Spark's in between
+    assert filtered.columns == ["folder", "more", "idx", "relative_path", "data_size", "data"] and {r.more for r in filtered.collect()} == {7}
+    assert [bytes(A.pack(df.limit(n), []).first().archive) for n in (0, 1)] == [A.pack_entries([]), A.pack_entries([(df.first().relative_path, bytes(2_000_000))])]
