@@ -217,13 +217,20 @@ def _standing(at: int):
 
 
 def _turning(f):
-    return lambda found: ((own, f(data)) for own, data in found)
+    def run(found):
+        for own, data in found:
+            data = f(data)
+            yield own, data
+            del data  # else it stands beside the next one
+
+    return run
 
 
 def _archives(names: list[str]):
     def run(found):
         for own, data in found:
             yield pa.RecordBatch.from_arrays([*own, _value(data)], [*names, "archive"])
+            del data
 
     return run
 
@@ -247,6 +254,7 @@ def _entries(names: list[str], read):
                     first, held, size = first + len(held), [], 0
             if held:
                 yield rows(own, first, held)
+            del data, held
 
     return run
 

@@ -125,3 +125,23 @@ def test_one_archive_at_a_time(spark):
     filtered = A.unpack(A.pack(df, ["folder"]).filter("folder = 'f'").withColumn("more", F.lit(7)))  # a step of Spark's in between
     assert filtered.columns == ["folder", "more", "idx", "relative_path", "data_size", "data"] and {r.more for r in filtered.collect()} == {7}
     assert [bytes(A.pack(df.limit(n), []).first().archive) for n in (0, 1)] == [A.pack_entries([]), A.pack_entries([(df.first().relative_path, bytes(2_000_000))])]
+
+
+def test_an_archive_goes_before_the_next_is_made():
+    import weakref
+
+    class Held(bytearray):
+        pass
+
+    alive = weakref.WeakSet()
+
+    def make(x):
+        assert not alive, "the archive before is still held"
+        out = Held(x)
+        alive.add(out)
+        return out
+
+    Held.__hash__ = lambda self: id(self)
+    good = A.pack_entries(ENTRIES)
+    one = A._turning(make)((([], good) for _ in range(3)))
+    assert [b.num_rows for b in A._entries([], A._read)(one)] == [4, 4, 4]
