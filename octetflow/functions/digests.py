@@ -24,13 +24,17 @@ def fnv1a(data: bytes, start: int = OFFSET) -> int:
 
 
 def _columns(items: list[bytes], width: int, step) -> np.ndarray:
-    """Folds all strings at once, one unit of ``width`` bytes after another; ``step(h, unit)`` gives the next state."""
-    h = np.full(len(items), OFFSET, np.uint64)
-    sizes = np.array([len(x) // width for x in items])
+    ends = np.cumsum([0, *map(len, items)])
+    return _folded(np.frombuffer(b"".join(items), np.uint8), ends, width, step)
+
+
+def _folded(joined: np.ndarray, ends: np.ndarray, width: int, step) -> np.ndarray:
+    """Folds all strings at once, one unit of ``width`` bytes after another; ``step(h, unit)`` gives the next state. String i is what ``joined`` holds from ends[i] to ends[i + 1]."""
+    h = np.full(len(ends) - 1, OFFSET, np.uint64)
+    sizes = np.diff(ends) // width
     order = np.argsort(-sizes, kind="stable")
-    joined = np.frombuffer(b"".join(items), np.uint8)
-    starts = (np.cumsum([0, *map(len, items[:-1])]) if items else np.zeros(0, int))[order]
-    live, k, sizes = len(items), 0, sizes[order]
+    starts = ends[:-1][order]
+    live, k, sizes = len(h), 0, sizes[order]
     state = h[order]
     while live:
         live = int(np.searchsorted(-sizes, -k, "left"))  # those with more than k units
@@ -44,9 +48,9 @@ def _columns(items: list[bytes], width: int, step) -> np.ndarray:
         k += 1
     h[order] = state
     for i in order[:live].tolist():  # the few long ones that are left
-        x = int(h[i])
-        for j in range(k, len(items[i]) // width):
-            x = (x ^ int.from_bytes(items[i][j * width : (j + 1) * width], "little")) * PRIME & MASK
+        x, item = int(h[i]), joined[ends[i] : ends[i + 1]].tobytes()
+        for j in range(k, len(item) // width):
+            x = (x ^ int.from_bytes(item[j * width : (j + 1) * width], "little")) * PRIME & MASK
         h[i] = x
     return h
 
@@ -55,6 +59,14 @@ def fnv1a_many(items: list[bytes]) -> np.ndarray:
     return _columns(items, 1, lambda h, b: (h ^ b) * np.uint64(PRIME))
 
 
+def fnv1a_column(column: pa.Array) -> np.ndarray:
+    """The same of a binary column, from its buffers: no value is copied. What stands for a null means nothing."""
+    wide = column.cast(pa.large_binary())
+    _, ends, data = wide.buffers()
+    ends = np.frombuffer(ends, np.int64, len(wide) + 1, 8 * wide.offset) if len(wide) else np.zeros(1, np.int64)
+    return _folded(np.frombuffer(data or b"", np.uint8), ends, 1, lambda h, b: (h ^ b) * np.uint64(PRIME))
+
+
 def transfer(data: bytes, lanes: int = 64) -> tuple[int, np.ndarray]:
     """What ``data`` does to any FNV-1a state, as (power, table): h becomes h * power + table[h & 255].
 
@@ -125,11 +137,10 @@ def xxh3(content: Column) -> Column:
 def fnv(content: Column) -> Column:
     """FNV-1a 64: 16 lower-case hex digits."""
 
-    def run(xs):
-        found = iter(fnv1a_many([x for x in xs if x is not None]).tolist())
-        return [None if x is None else f"{next(found):016x}" for x in xs]
+    def run(x):
+        return pa.array([f"{h:016x}" for h in fnv1a_column(x).tolist()], pa.string(), mask=x.is_null().to_numpy(zero_copy_only=False))
 
-    return _udf(run)(content)
+    return F.arrow_udf(run, "string")(content)
 
 
 def fnv_expression(content: Column) -> Column:

@@ -69,4 +69,5 @@ def report(listed: DataFrame, digest: DataFrame, name: str) -> DataFrame:
     """Lines of a folder's report, in order (n, value): write value as text."""
     head = digest.select(F.lit("").alias("p"), F.array(F.lit(f"Folder: {name}"), F.concat(F.lit("Hash: "), "folder_hash"), F.concat(F.lit("Total Files: "), F.col("files").cast("string")), F.lit("")).alias("lines"))
     body = listed.select(F.col("relative_path").alias("p"), F.array(F.col("relative_path"), F.concat(F.lit("  Hash: "), "hash"), F.concat(F.lit("  Size: "), F.col("size").cast("string"), F.lit(" bytes")), F.lit("")).alias("lines"))
-    return head.unionByName(body).select("p", F.posexplode("lines").alias("n", "value")).orderBy("p", "n").select("value")
+    # outer, as there are always lines: else Spark adds a filter that they are some, and with it a second digest of every file
+    return head.unionByName(body).select("p", F.posexplode_outer("lines").alias("n", "value")).orderBy("p", "n").select("value")

@@ -60,3 +60,10 @@ def test_compare(spark):
     assert paths(C.only_left(a, b, ["relative_path"])) == ["gone"] and paths(C.only_right(a, b, ["relative_path"])) == ["new"] and paths(C.common(a, b, ["relative_path"])) == ["hash", "same", "size"]
     both = [x.withColumn("f", F.lit("x")) for x in (a, b)]
     assert C.same_folders(both[0], both[1], ["f"]).first().are_identical is False and C.same_folders(both[0], both[0], ["f"]).first().are_identical is True
+
+
+def test_the_report_digests_once(spark):
+    files = spark.range(9).select(F.col("id").cast("string").alias("relative_path"), F.encode(F.col("id").cast("string"), "utf-8").alias("content"))
+    out = C.report(C.listing(files), C.folder_digest(C.listing(files)), "x")
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [run(") == 2  # the digest of the folder, and the lines
+    assert out.count() == 4 + 9 * 4

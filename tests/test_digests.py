@@ -59,3 +59,20 @@ def test_expression_agrees(spark):
     rows = [(x,) for x in (b"", b"abc", bytes(range(256)))]
     out = spark.createDataFrame(rows, "c binary").select(D.fnv(F.col("c")), D.fnv_expression(F.col("c"))).collect()
     assert all(a == b for a, b in out)
+
+
+def test_fnv_of_a_column_takes_its_buffers():
+    import pyarrow as pa
+
+    items = [b"", b"a", None, b"abc" * 50, bytes(1000), None] + [bytes([i]) * i for i in range(80)]
+    for column in (pa.array(items, pa.binary()), pa.array([b"x", *items, b"y"], pa.binary()).slice(1, len(items)), pa.array(items, pa.large_binary())):
+        assert [h for h, x in zip(D.fnv1a_column(column).tolist(), items, strict=True) if x is not None] == [D.fnv1a(x) for x in items if x is not None]
+    assert D.fnv1a_column(pa.array([], pa.binary())).tolist() == [] and D.fnv1a_column(pa.array([None], pa.binary())).size == 1
+    import tracemalloc
+
+    column = pa.array([bytes(1 << 10)] * 20_000, pa.binary())
+    tracemalloc.start()
+    found = D.fnv1a_column(column)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(found.tolist())) == 1 and most < 5 << 20  # of 20 MB
